@@ -48,11 +48,10 @@ def uniform(key: Column, seed: int) -> Column:
     return (digits.cast("double") + 0.5) / float(1 << 52)
 
 
-def mix(docs: DataFrame, sized: DataFrame, seed: int = 7, **shares) -> DataFrame:
+def mix(sized: DataFrame, seed: int = 7, **shares) -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) for sized(id, source, size, quality), one row a row.
 
-    docs is unused but for its session; ids with equal keys (repeated rows) are told apart by size, and equal
-    ones are exchangeable.
+    Rows with equal ids have equal keys; among them the size decides, and equal rows are exchangeable.
     """
     quality = F.when(F.col("quality") > 0, F.col("quality")).otherwise(1.0)
     key = -F.log(uniform(F.col("id"), seed)) / quality
