@@ -30,7 +30,6 @@ from .encoding import Encoder, sliced
 END = 0
 SHARD_TOKENS = 2_000_000
 ROUNDS, PAIRS, MIN_COUNT, HASH_BITS = 4, 4096, 16, 21
-#: Parts of the key range that texts are sorted in, for each GB of text and at least.
 SHARDS = "part int, shard_no int, doc_ids array<long>, lengths array<int>, tokens long, file binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("shard_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.int64()), ("file", pa.binary())])
 
@@ -149,12 +148,12 @@ def _writer(path: str, first_free: int):
 
         def flush():
             flat, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
-            row = [part], [shard], [np.concatenate(docs).tolist() if None not in docs else None], [np.diff(ends, prepend=0).tolist()], [len(flat)], [compress(flat, ends, first_free)]
+            row = [part], [shard], [docs], [np.diff(ends, prepend=0).tolist()], [len(flat)], [compress(flat, ends, first_free)]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _SHARDS.types, strict=True)], schema=_SHARDS)
 
         for b in sliced(batches, "text", 8_000_000):
             flat, ends = with_end(*encoder.encode(b.column("text")), END)
-            docs.append(np.array(b.column("doc_id").to_pylist(), dtype=object))
+            docs += b.column("doc_id").to_pylist()
             ids.append(flat)
             sizes.append(np.diff(ends, prepend=0))
             held += len(flat)
@@ -173,26 +172,28 @@ def write_shards(docs: DataFrame, scratch: Scratch, path: str, parts: int, vocab
     return scratch.save(rows.mapInArrow(_writer(path, vocabulary), SHARDS), "shards")
 
 
+_DIGESTS = "part int, shard_no int, doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
 def _digests(batches):
     for b in batches:
         for i in range(b.num_rows):
             shard = ShardFile(b.column("file")[i].as_py())
-            flat = shard.expand(shard.seq).astype("<u4")
+            data = memoryview(shard.expand(shard.seq).astype("<u4")).cast("B")
             n = shard.lengths()
             ends = np.cumsum(n)
-            data = memoryview(flat).cast("B")
             crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
-            starts = b.column("first")[i].as_py() + ends - n
-            yield pa.RecordBatch.from_arrays([pa.array(b.column("doc_ids")[i].as_py(), pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            place = [pa.array([b.column(c)[i].as_py()] * len(n), pa.int32()) for c in ("part", "shard_no")]
+            values = [pa.array(b.column("doc_ids")[i].as_py(), pa.int64()), pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*place, *values], names=["part", "shard_no", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files.
 
-    Shard starts are sums over the shard list (a row for each SHARD_TOKENS ids), without the files.
+    Shard starts are sums over the shard list (a row for each SHARD_TOKENS ids); files are read in place.
     """
-    listed = shards.select("part", "shard_no", "tokens")
     before = F.sum("tokens").over(Window.orderBy("part", "shard_no").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = listed.select(F.col("part").alias("_p"), F.col("shard_no").alias("_s"), F.coalesce(before, F.lit(0)).alias("first"))
-    met = shards.select("part", "shard_no", "doc_ids", "file").join(firsts, (F.col("part") == F.col("_p")) & (F.col("shard_no") == F.col("_s")))
-    return met.select("first", "doc_ids", "file").mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    firsts = shards.select("part", "shard_no", "tokens").select("part", "shard_no", F.coalesce(before, F.lit(0)).alias("first"))
+    own = shards.select("part", "shard_no", "doc_ids", "file").mapInArrow(_digests, _DIGESTS)
+    return own.join(firsts, ["part", "shard_no"]).select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
