@@ -43,7 +43,7 @@ def attribute(ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, int]:
     low = np.searchsorted(first, begins, side="right") - 1
     high = np.searchsorted(first, ends - 1, side="right") - 1
     home, crossing = low.copy(), 0
-    for t in np.flatnonzero(ends > stops[low]):  # tokens with a line end inside
+    for t in np.flatnonzero((ends > stops[low]) & (ends - begins > 1)):  # tokens of a line end and more
         s = np.arange(low[t], high[t] + 1)
         inside = np.minimum(stops[s], ends[t]) - np.maximum(first[s], begins[t])
         home[t] = s[int(np.argmax(inside))] if inside.max() > 0 else low[t]

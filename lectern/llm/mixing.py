@@ -38,7 +38,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: float
     rows = rows.withColumn("w_left", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0)))
     rows = rows.withColumn("level", (F.sum("source_size").over(every) * F.lit(float(epochs)) - F.col("full")) / F.col("w_left"))
     fits = F.col("cap") / F.col("w") >= F.col("level")
-    rows = rows.withColumn("at", F.min(F.when(fits, F.col("level"))).over(every))
+    rows = rows.withColumn("at", F.max(F.when(fits, F.col("level"))).over(every))
     return rows.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("at") * F.col("w"), F.col("cap").cast("double"))).alias("target"))
 
 
