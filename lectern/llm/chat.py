@@ -73,10 +73,9 @@ def reply_paths(spark: SparkSession, messages: DataFrame, scratch: Scratch, bran
         if last.where("anc is not null").isEmpty():
             break
         far = last.select(F.col("msg").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
-        both = last.join(far, "anc", "left").select(
-            "msg", F.col("anc2").alias("anc"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops")
-        )
-        steps.append(scratch.save(both, f"up{k + 1}"))
+        # messages that have reached their root sit out the join
+        climbing = last.where("anc is not null").join(far, "anc").select("msg", F.col("anc2").alias("anc"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops"))
+        steps.append(scratch.save(climbing.unionByName(last.where("anc is null")), f"up{k + 1}"))
         if k > 32 or (k >= 4 and k % 4 == 0):  # nothing reaches a root any more: what is left are cycles
             n = steps[-1].where("anc is not null").count()
             if n and n == last.where("anc is not null").count():
