@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.citations import equation_announcement
+from ..functions.markup import clean_markup
 
 DOC = ["doc_id"]
 # Kinds of regions and sections.
@@ -37,9 +38,10 @@ def line_blocks(docs: DataFrame) -> DataFrame:
 
 
 def clean_blocks(blocks: DataFrame) -> DataFrame:
-    """Ligatures, line ends, split tokens and loops; adds removed, the words that loops lost."""
-    cleaned = T.collapse_repetition(T.rejoin_split_tokens(T.dehyphenate(T.normalize_ligatures(T.fix_mojibake(F.col("text"))))))
-    return blocks.withColumn("_c", cleaned).withColumn("text", F.col("_c.text")).withColumn("removed", F.col("_c.removed")).drop("_c")
+    """Detached accents, markup, ligatures, line ends, split tokens and loops; adds removed, the words that loops lost."""
+    steps = [T.fix_mojibake, clean_markup, T.normalize_ligatures, T.dehyphenate, T.rejoin_split_tokens]
+    cleaned = T.collapse_repetition(F.col("text"))
+    return T.apply_steps(blocks, "text", steps).withColumn("_c", cleaned).withColumn("text", F.col("_c.text")).withColumn("removed", F.col("_c.removed")).drop("_c")
 
 
 def detect_running_artifacts(blocks: DataFrame, least: int = 3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.markup import split_display_math
 from ..functions.text import LEXICON, Entry, classify_block
 
 DOCUMENT = """
@@ -54,13 +55,6 @@ def looks_like_name(text: Column) -> Column:
     return F.size(words).between(2, 4) & ~text.rlike(r"\d") & F.get(words, F.lit(0)).rlike(r"^\p{Lu}") & F.element_at(words, -1).rlike(r"^\p{Lu}")
 
 
-def display_math(chunk: Column) -> Column:
-    r"""LaTeX of a chunk that is one $$...$$, a trailing number folded in as \tag; null for others."""
-    pattern = r"(?s)^\s*\$\$(.+?)\$\$\s*(?:\(?(\d+(?:\.\d+)*)\)?)?\s*$"
-    body, number = F.trim(F.regexp_extract(chunk, pattern, 1)), F.regexp_extract(chunk, pattern, 2)
-    return F.when(body != "", F.when(number == "", body).otherwise(F.concat(body, F.lit(r" \tag{"), number, F.lit("}"))))
-
-
 def markdown_blocks(docs: DataFrame) -> DataFrame:
     """documents(doc_id, text) in markdown as typed blocks, with running chapter, section and page.
 
@@ -70,7 +64,7 @@ def markdown_blocks(docs: DataFrame) -> DataFrame:
     chunks = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
     head = F.regexp_extract("raw", r"^#{1,6}\s+(.*)$", 1)
     bare = F.trim(F.regexp_replace(head, r"[*_]+", ""))
-    latex = display_math(F.col("raw"))
+    latex = split_display_math(F.col("raw"))
     kind = (
         F.when(F.col("raw").rlike(r"^\{\d+\}-{3,}$"), "page_anchor")
         .when(head != "", "heading")
