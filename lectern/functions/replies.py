@@ -41,7 +41,7 @@ def sections(raw: Column) -> Column:
 
 def narration(raw: Column) -> Column:
     """A spoken reply without fences and one pair of wrapping quotes."""
-    bare = F.trim(F.regexp_replace(raw, r"(?m)^```\w*\s*$", ""))
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?m)^```\w*\s*$", ""), r"^\s+|\s+$", "")
     return F.when((F.length(bare) >= 2) & bare.rlike('^(?s)".*"$|^“(?s).*”$'), F.trim(F.substring(bare, F.lit(2), F.length(bare) - 2))).otherwise(bare)
 
 

@@ -38,7 +38,7 @@ def test_chunks(spark):
     assert [r.prev_id for r in got] == [None, "chunk.1", "chunk.2", "chunk.3", "chunk.4"] and got[-1].next_id is None
     frame = spark.createDataFrame([tuple(r) for r in got], C.CHUNKS)
     assert [r.chunk_no for r in C.preview_chunks(frame).orderBy("chunk_no").collect()] == [1, 2, 3]
-    assert [(r.index, r.chapter, r.n) for r in C.chapter_islands(frame).orderBy("index").collect()] == [(1, 1, 3), (2, 2, 2)]
+    assert [(r["index"], r.chapter, r.n) for r in C.chapter_islands(frame).orderBy("index").collect()] == [(1, 1, 3), (2, 2, 2)]
 
 
 def test_spoken_edits(spark):
