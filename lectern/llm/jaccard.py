@@ -200,6 +200,7 @@ class Group:
 
     def __init__(self, pct: int):
         self.pct, self.keys, self.copies, self.sets, self.index = pct, [], [], [], None
+        self.visitors: list[tuple[bytes, int, int]] = []
 
     def add(self, key: bytes, copies: int, tokens: np.ndarray) -> None:
         if key not in self.keys[-1:]:  # a class may arrive twice if its first document does
@@ -223,8 +224,25 @@ class Group:
             self.root[i] = i = self.root[self.root[i]]
         return i
 
-    def visit(self, key: bytes, q: np.ndarray) -> tuple[int, int | None]:
-        """Links (copies counted) and a linked member of a query."""
+    def join(self, members: list[int]) -> None:
+        """Members come in key order, so a root has the least key of its tree."""
+        roots = [self.find(i) for i in members]
+        least = min(roots)
+        for r in roots:
+            self.root[r] = least
+
+    def edges(self) -> Iterator[tuple[bytes, bytes, int]]:
+        """Visitors and members with the root of what they link to; empties the list of visitors."""
+        for key, links, member in self.visitors:
+            yield key, self.keys[self.find(member)], links
+        self.visitors.clear()
+        if self.index is not None:
+            for i, key in enumerate(self.keys):
+                if (r := self.find(i)) != i:
+                    yield key, self.keys[r], 0
+
+    def visit(self, key: bytes, q: np.ndarray) -> None:
+        """Notes a query's links (copies counted) and a linked member, if there are any."""
         if self.index is None:
             self.close()
         k = np.searchsorted(self.union, q)
@@ -234,7 +252,7 @@ class Group:
             k = k[self.at[k + 1] - self.at[k] > 1]  # a member's own tokens don't count for others
         # J >= t needs overlap >= t (n + m) / (1 + t), and m is the least size or more
         if len(k) * (100 + self.pct) < self.pct * (len(q) + max(self.least, _least(len(q), self.pct))):
-            return 0, None
+            return
         n = self.at[k + 1] - self.at[k]
         upto = np.cumsum(n)
         members = self.index[np.repeat(self.at[k] - (upto - n), n) + np.arange(upto[-1])]
@@ -243,12 +261,9 @@ class Group:
         if own is not None:
             linked[own] = False
         found = np.flatnonzero(linked)
-        if not len(found):
-            return 0, None
-        first = self.find(int(found[0]))
-        for i in [*found[1:].tolist(), *([own] if own is not None else [])]:
-            self.root[self.find(i)] = first
-        return int(self.weight[found].sum()), int(found[0])
+        if len(found):
+            self.join([*found.tolist(), *([own] if own is not None else [])])
+            self.visitors.append((key, int(self.weight[found].sum()), int(found[0])))
 
 
 LINKS = "a binary, b binary, links long"
@@ -258,30 +273,25 @@ def _verify(pct: int):
     def run(batches):
         group, now, rows = None, None, []
 
-        def flush():
-            for i in range(len(group.keys)):
-                if group.index is not None and (r := group.find(i)) != i:
-                    rows.append((group.keys[i], group.keys[r], 0))
-
         for b in batches:
             for grp, role, key, copies, tokens in zip(*(b.column(c).to_pylist() for c in ("grp", "role", "key", "copies", "tokens")), strict=True):
                 if grp != now:
                     if group is not None:
-                        flush()
+                        rows += group.edges()
                     group, now, last = Group(pct), grp, None
                 s = np.frombuffer(tokens, np.uint64)
                 if role == 0:
                     group.add(key, copies, s)
                 elif key != last and group.keys:
                     last = key
-                    links, member = group.visit(key, s)
-                    if links:
-                        rows.append((key, group.keys[member], links))
+                    group.visit(key, s)
+                    if len(group.visitors) > 50_000:
+                        rows += group.edges()
             if len(rows) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "links"])
                 rows.clear()
         if group is not None:
-            flush()
+            rows += group.edges()
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "links"])
 
