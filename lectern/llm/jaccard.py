@@ -86,8 +86,8 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens * _A >> np.uint64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
 
 
-_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
-CLASSES = "doc_id long, n long, key binary, block int, counts binary"
+_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sid", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+CLASSES = "doc_id long, n long, key binary, sid long, block int, counts binary"
 _PER_BLOCK = CELLS // SKETCH_BLOCKS
 
 
@@ -99,7 +99,7 @@ def _sketch_rows(sketch: np.ndarray) -> pa.RecordBatch:
         if len(some):
             rows.append((b, some.astype("<u2").tobytes() + own[some].astype("<u4").tobytes()))
     n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_CLASSES)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_CLASSES)
 
 
 def _classify(n: int):
@@ -110,7 +110,7 @@ def _classify(n: int):
             if sets:
                 sketch += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
             keys = [key_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=_CLASSES)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else sid_of(k) for k in keys], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=_CLASSES)
         yield _sketch_rows(sketch)
 
     return run
@@ -326,7 +326,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, w
     """(doc_id, n_shingles, component_id, n_links, class_size) of documents(doc_id, text); links of `percent` similarity or more."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = scratch.save(texts.mapInArrow(_classify(words), CLASSES), "classes")
-    classes = made.where("block is null").select("doc_id", "n", "key")
+    classes = made.where("block is null").select("doc_id", "n", "key", "sid")
     sent = spark.sparkContext.broadcast(_merged_sketch(spark, made.where("block is not null").select("block", "counts")))
 
     # tokens in the prefixes of two classes or more
@@ -352,9 +352,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, w
     visits = queries.select("sid", "grp", F.lit(1).alias("role")).unionByName(members.select("sid", "grp", F.lit(0).alias("role")))
     visits = visits.groupBy("sid").agg(F.collect_list(F.struct("grp", "role")).alias("visits"))
 
-    ids = F.udf(sid_of, "long")  # of distinct classes only
-    distinct = classes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    need = distinct.withColumn("sid", ids("key")).join(visits, "sid").select("key", "rep", "copies", "visits")
+    distinct = classes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sid").alias("sid"))
+    need = distinct.join(visits, "sid").select("key", "rep", "copies", "visits")
     brought = texts.where("text is not null").join(need.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "copies", "visits")
     placed = brought.mapInArrow(_visits(words), VISITS).repartition("grp").sortWithinPartitions("grp", "role", "key")
     links = scratch.save(placed.mapInArrow(_verify(percent), LINKS), "links")
