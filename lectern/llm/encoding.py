@@ -9,6 +9,7 @@ runs are one pre-token) go to the library whole, so results equal encode(text) f
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ CUT = "\x01"
 _WS = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = rf"\x01|{_WS}[ \n]|\n{_WS}"
 #: Characters of text encoded at once, and distinct chunks remembered from batch to batch: both bound memory.
-PART_CHARS, MEMO = 24_000_000, 400_000
+PART_CHARS, MEMO = 24_000_000, 800_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -41,7 +42,9 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.memo: dict[str, np.ndarray] = {}
+        # chunk number k has ids[begins[k]:begins[k + 1]]
+        self.memo: dict[str, int] = {}
+        self.ids, self.begins = array("I"), array("q", [0])
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -50,23 +53,21 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks, with each chunk's count."""
-        memo, found, new = self.memo, [None] * len(chunks), []
-        for i, c in enumerate(chunks):
-            got = memo.get(c)
-            if got is None:
-                new.append(i)
-            else:
-                found[i] = got
+    def _chunks(self, chunks: list[str]) -> np.ndarray:
+        """Places of distinct chunks in the store; those that aren't remembered are only there until the next call."""
+        memo, known = self.memo, len(self.memo)
+        del self.begins[known + 1 :], self.ids[self.begins[known] :]
+        at = [memo.get(c, -1) for c in chunks]
+        new = [i for i, k in enumerate(at) if k < 0]
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
             for i, enc in zip(part, self.tok.encode_batch([chunks[i] for i in part], add_special_tokens=False), strict=True):
-                found[i] = np.array(enc.ids, dtype=np.uint32)
+                at[i] = len(self.begins) - 1
+                self.ids.extend(enc.ids)
+                self.begins.append(len(self.ids))
                 if len(memo) < MEMO:
-                    memo[chunks[i]] = found[i]
-        counts = np.fromiter((len(f) for f in found), dtype=np.int64, count=len(found))
-        return (np.concatenate(found) if found else np.empty(0, np.uint32)), counts
+                    memo[chunks[i]] = at[i]
+        return np.array(at, dtype=np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -80,12 +81,14 @@ class Encoder:
         first = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        ids, counts = self._chunks(coded.dictionary.to_pylist())
-        begin = np.concatenate([[0], np.cumsum(counts)])
-        n = counts[which]
+        which = self._chunks(coded.dictionary.to_pylist())[which]
+        begins = np.array(self.begins, dtype=np.int64)
+        n = np.diff(begins)[which]
         upto = np.concatenate([[0], np.cumsum(n)])
         ends = upto[first[1:] - first[0]]
-        flat = ids[np.repeat(begin[which] - upto[:-1], n) + np.arange(upto[-1])]
+        place = np.repeat((begins[which] - upto[:-1]).astype(np.int32), n)
+        place += np.arange(upto[-1], dtype=np.int32)
+        flat = np.array(self.ids, dtype=np.uint32)[place]
         if not len(odd):
             return flat, ends
         parts, at, sizes = [], 0, np.diff(ends, prepend=0)
