@@ -103,3 +103,40 @@ def test_cache_and_stream(spark, tmp_path):
         stream.start(spark, source, "text string", store, f"{tmp_path}/cp{k}").awaitTermination()
     rows = cache.read(spark, store).collect()
     assert [bytes(r.value).decode() for r in rows] == ["it was five"]
+
+
+def test_pronunciation_plan(spark):
+    from lectern.operators import pronounce as P
+
+    blocks = spark.createDataFrame([(1, 0, "ABA and ABA with E"), (1, 1, "reactive oxygen species (ROS) then ROS and x_i"), (2, 0, "ABA")], "doc_id long, pos int, text string")
+    rules = [(1, 0, "acronym", "ABA", "abscisic acid", "A B A"), (1, 1, "acronym", "ROS", "reactive oxygen species", "R O S"), (1, 2, "acronym", "E", "energy", "E"), (1, 3, "notation", "x_i", "x sub i", None), (1, 4, "term", "x_i", "other", None)]
+    got = {(r.doc_id, r.pos): r.text for r in P.apply_plan(blocks, spark.createDataFrame(rules, P.RULES)).collect()}
+    assert got[(1, 0)] == "abscisic acid (A B A) and A B A with E" and got[(1, 1)] == "reactive oxygen species (R O S) then R O S and x sub i" and got[(2, 0)] == "ABA"
+
+
+def test_reports(spark):
+    from lectern.operators import reports as Rp
+
+    rows = spark.createDataFrame([(1, 2, "b", "x|y"), (1, 1, "a", None)], "doc_id long, n int, name string, why string")
+    table = Rp.markdown_table(rows, "Edits", "n", ["name", "why"])
+    assert table.first().report == "# Edits (2)\n\n| name | why |\n|---|---|\n| a |  |\n| b | x\\|y |\n"
+    assert Rp.ledger({"One": table, "Two": table}).first().report.count("# Edits (2)") == 2
+    chapters = spark.createDataFrame([(1, 1, "A=b", 1.5), (1, 2, "C", 2.0)], "doc_id long, index int, title string, seconds double")
+    assert Rp.chapter_metadata(chapters).first().metadata == ";FFMETADATA1\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=0\nEND=1500\ntitle=A\\=b\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=1500\nEND=3500\ntitle=C\n"
+
+
+def test_corpus(spark, tmp_path):
+    import json
+
+    from lectern.operators import reports as Rp
+    from lectern.sources.corpus import read_corpus
+
+    for name, detected in (("a", 2), ("b", 0)):
+        d = tmp_path / name
+        d.mkdir()
+        (d / "labels.json").write_text(json.dumps({"thesis_id": name, "expected_chapters": ["x", "y"], "must_be_absent": ["["], "must_be_present": ["five"]}, indent=1))
+        (d / "result.json").write_text(json.dumps({"chapters_detected": detected}))
+        (d / "script.md").write_text("It was five.\n")
+    got = S.score(read_corpus(spark, str(tmp_path)))
+    assert {(r.item, r.rate) for r in got.where("dimension = 'structure (chapters)'").collect()} == {("a", 1.0), ("b", 0.0)}
+    assert Rp.scorecard(got).first().report.count("\n| ") == 9
