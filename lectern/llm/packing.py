@@ -37,25 +37,16 @@ def _encoder(path: str):
         from pyspark import TaskContext
 
         lane, encoder = TaskContext.get().partitionId() << 24, Encoder.of(path)
-        docs, sources, sizes, ids, held = [], [], [], [], 0
-
-        def flush():
-            # ids of the vocabulary fit in 16 bits
-            row = [lane], [docs], [sources], [np.concatenate(sizes)], [np.concatenate(ids).astype("<u2").tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _LANES.types, strict=True)], schema=_LANES)
-
-        for b in sliced(batches, "text", 2_000_000):
+        for b in sliced(batches, "text", 16_000_000):
             flat, ends = with_end(*encoder.encode(b.column("text")), END)
-            docs += b.column("doc_id").to_pylist()
-            sources += b.column("source").to_pylist()
-            sizes.append(np.diff(ends, prepend=0))
-            ids.append(flat)
-            held += len(flat)
-            if held >= LANE_TOKENS:
-                yield flush()
-                docs, sources, sizes, ids, held, lane = [], [], [], [], 0, lane + 1
-        if docs:
-            yield flush()
+            docs, sources = b.column("doc_id").to_pylist(), b.column("source").to_pylist()
+            of = (ends - 1) // LANE_TOKENS  # a document lies in the lane of its last id
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(ends)]
+            sizes, data = np.diff(ends, prepend=0), flat.astype("<u2")  # ids of the vocabulary fit in 16 bits
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                row = [lane], [docs[x:y]], [sources[x:y]], [sizes[x:y]], [data[ends[x] - sizes[x] : ends[y - 1]].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _LANES.types, strict=True)], schema=_LANES)
+                lane += 1
 
     return encode
 
