@@ -17,8 +17,12 @@ from ..functions.markup import clean_markup
 DOC = ["doc_id"]
 # Kinds of regions and sections.
 SPOKEN_TYPES, SKIPPED_TYPES = ["heading", "paragraph"], ["frontmatter", "reference_list", "footnote", "code", "figure_caption", "equation_inline"]
-READ_SECTIONS = ["abstract", "introduction", "body_chapter", "conclusion"]
-SKIP_SECTIONS = ["title_page", "copyright", "approval", "dedication", "acknowledgements", "table_of_contents", "list_of_figures", "list_of_tables", "references", "appendix", "vita"]
+READ_SECTIONS = ["body_chapter", "abstract", "acknowledgements", "dedication", "biographical_sketch"]
+SKIP_SECTIONS = ["table_of_contents", "list_of_figures", "list_of_tables", "references", "appendix"]
+SPOKEN_REGIONS = ["abstract", "biographical_sketch", "dedication", "epigraph", "acknowledgments", "preface_or_foreword", "chapter_body", "chapter_abstract"]
+FRONT_REGIONS = ["title_page", "copyright_page", "table_of_contents", "list_of_tables", "list_of_figures", "list_of_abbreviations", "chapter_front_note"]
+REFERENCE_REGIONS = ["per_chapter_bibliography", "bibliography", "appendix_bibliography"]
+BACK_REGIONS = ["appendix", "supplementary_information", "glossary", "index", "colophon_or_vita"]
 LABEL_TYPES = {"prose": "paragraph", "heading": "heading", "equation": "equation_display", "code": "code", "figure": "figure_caption", "table": "table", "reference": "reference_list", "frontmatter": "frontmatter"}
 SIGNPOST = "A note for the listener: this thesis refers to appendix material, which is not included in the audiobook. You can find it in the full written text."
 
@@ -173,8 +177,9 @@ def apply_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return blocks.join(first.select("doc_id", "pos", F.col("r.kind").alias("region_kind"), "r.region_chapter"), ["doc_id", "pos"], "left")
 
 
-def effective_decision(kind: Column, spoken: list[str], back: list[str], include_appendices: bool) -> Column:
-    return F.when(kind.isin(spoken), "include").when(kind.isin(back), "include" if include_appendices else "skip").when(kind == "unknown", "review").otherwise("skip")
+def effective_decision(kind: Column, include_appendices: bool) -> Column:
+    """What a region's kind and the profile make of it."""
+    return F.when(kind.isin(SPOKEN_REGIONS), "include").when(kind.isin(BACK_REGIONS), "include" if include_appendices else "skip").when(kind == "unknown", "review").otherwise("skip")
 
 
 def section_decision(kind: Column) -> Column:
@@ -182,6 +187,49 @@ def section_decision(kind: Column) -> Column:
     return F.when(kind.isin(READ_SECTIONS), "read").when(kind.isin(SKIP_SECTIONS), "skip").otherwise("review")
 
 
+def retype_regions(blocks: DataFrame) -> DataFrame:
+    """blocks after apply_regions: buried prose of spoken regions is typed from its text, prose of others by region; chapters are filled in."""
+    kind, now = F.col("region_kind"), F.col("type")
+    prose = now.isin(SPOKEN_TYPES)
+    new = (
+        F.when(kind.isin(SPOKEN_REGIONS) & now.isin("frontmatter", "backmatter"), T.classify_block(F.col("text")))
+        .when(kind.isin(FRONT_REGIONS) & prose, "frontmatter")
+        .when(kind.isin(REFERENCE_REGIONS) & prose, "reference_list")
+        .when(kind.isin(BACK_REGIONS) & prose, "backmatter")
+        .when((kind == "footnotes") & prose, "footnote")
+        .otherwise(now)
+    )
+    return blocks.withColumn("type", new).withColumn("chapter", F.coalesce("region_chapter", "chapter"))
+
+
+def map_sections(blocks: DataFrame, sections: DataFrame) -> DataFrame:
+    """blocks with decision, section_kind, section_chapter and section_head from sections(doc_id, pos, title, kind).
+
+    Headings use up sections with their title from left to right, each once; a decision holds until the next
+    match, and before the first it is review. Each match depends on the one before: a fold over a document.
+    """
+    body = (F.lower(F.trim("kind")) == "body_chapter").cast("int")
+    listed = sections.withColumn("chapter", F.when(body == 1, F.sum(body).over(by_doc(*SO_FAR)))).withColumn("key", T.heading_key(F.col("title"))).where("key <> ''")
+    entry = F.struct("pos", "key", "kind", section_decision(F.col("kind")).alias("decision"), "chapter")
+    plan = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("plan"))
+    heads = blocks.where("type = 'heading'").select("doc_id", "pos", T.heading_key(F.col("text")).alias("key")).join(plan, "doc_id")
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        left, out = list(rows["plan"].iloc[0]), []
+        for r in rows.sort_values("pos").itertuples():
+            k = next((k for k, s in enumerate(left) if s["key"] == r.key), None)
+            if k is not None:
+                out.append((r.doc_id, r.pos, left[k]["decision"], left[k]["kind"], left[k]["chapter"]))
+                left = left[k + 1 :]
+        return pd.DataFrame(out, columns=["doc_id", "pos", "decision", "kind", "chapter"]).astype({"chapter": "Int64"})
+
+    found = heads.groupBy("doc_id").applyInPandas(match, "doc_id long, pos int, decision string, kind string, chapter long")
+    met = blocks.join(found.select("doc_id", "pos", F.struct("decision", "kind", F.col("chapter").cast("int").alias("chapter")).alias("_s")), ["doc_id", "pos"], "left")
+    now = F.last("_s", ignorenulls=True).over(by_doc(*SO_FAR))
+    met = met.withColumn("section_head", F.col("_s").isNotNull()).withColumn("_now", now)
+    return met.select("*", F.coalesce("_now.decision", F.lit("review")).alias("decision"), F.coalesce("_now.kind", F.lit("unmapped")).alias("section_kind"), F.col("_now.chapter").alias("section_chapter")).drop("_s", "_now")
+
+
 def merge_section_maps(sections: DataFrame) -> DataFrame:
     """sections(doc_id, batch, n, number, title, start_page, kind): the first of each number or title, by start page."""
     key = F.coalesce(F.nullif(F.upper(F.trim("number")), F.lit("")), F.lower(F.trim("title")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import classify_block
-from .blocks import SO_FAR, by_doc
+from .blocks import SO_FAR, SPOKEN_REGIONS, by_doc
 
 HEAD, TAIL = 8, 1
 # Signs of code or notation, of which two are enough.
@@ -15,7 +15,7 @@ WEAK = [
     r" \| |\s>>?\s|\s<\s|2>", r"https?://|www\.|/\w+/\w+", r'"\w+"\s*:', r"(?i)\bSELECT\b.+\bFROM\b",
 ]
 CODE = r"(?m)^\s*(?:import|from)\s+\w|\bimport \w+ as |\bfrom \w+ import\b|\bdef \w+\(|\bprint\(|\bfunction \w+\("
-SPACED = r"(?:\b\w ){8,}"
+SPACED = r"\b\w(?: \w){3,}"
 
 
 def is_blob(text: Column) -> Column:
@@ -63,7 +63,7 @@ def outline(blocks: DataFrame) -> DataFrame:
     return outline_rows(blocks).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("outline"))
 
 
-def region_warnings(regions: DataFrame, spoken: list[str], least: float = 0.75) -> DataFrame:
+def region_warnings(regions: DataFrame, least: float = 0.85) -> DataFrame:
     """(doc_id, n, reason, score): up to six warnings a region."""
     low = F.least("kind_confidence", "decision_confidence")
     kind = F.col("kind")
@@ -72,7 +72,7 @@ def region_warnings(regions: DataFrame, spoken: list[str], least: float = 0.75)
         warn(kind == "unknown", F.format_string("unclassified region (label '%s'); review", F.col("label")), low),
         warn(F.col("decision") == "review", F.format_string("%s flagged for review - %s", kind, F.col("rationale")), low),
         warn(F.col("kind_confidence") < least, F.format_string("low confidence on %s (%.2f)", kind, F.col("kind_confidence")), F.col("kind_confidence")),
-        warn(kind.isin(spoken) & ~F.col("heading_anchored"), F.format_string("kept %s on an UNLABELED span (boundary unverifiable)", kind), F.col("kind_confidence")),
+        warn(kind.isin(SPOKEN_REGIONS) & ~F.col("heading_anchored"), F.format_string("kept %s on an UNLABELED span (boundary unverifiable)", kind), F.col("kind_confidence")),
         warn(F.col("duplicate_of").isNotNull(), F.format_string("%s looks like a duplicate of %s", kind, F.col("duplicate_of")), low),
         warn(F.col("language").isNotNull(), F.format_string("%s appears to be in '%s' (non-primary)", kind, F.col("language")), low),
     )

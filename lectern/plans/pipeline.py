@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.citations import naturalize_citations
-from ..functions.numbers import section_to_words
+from ..functions.citations import equation_announcement, naturalize_citations
+from ..functions.combinators import regex_map
+from ..functions.numbers import int_to_words, section_to_words
 from ..functions.speak import normalize_all
+from ..functions.text import strip_heading_enumerator
 from ..functions.verify import verify_segment
 from ..operators import blocks as B
 from ..operators.chunks import plan_chunks
@@ -64,9 +66,21 @@ def run_stages(rows: DataFrame, stages: list[Stage], first: str | None = None, l
 
 
 def heading_announcement(text, chapter, section):
-    """Section n., title; Chapter n., title; or the title."""
-    said = F.when(section.isNotNull(), F.concat(F.lit("Section "), section_to_words(section), F.lit(". "), text, F.lit(".")))
-    return F.coalesce(said, F.when(chapter.isNotNull(), F.concat(F.lit("Chapter "), section_to_words(chapter.cast("string")), F.lit(". "), text, F.lit("."))), F.concat(text, F.lit(".")))
+    """Section n, title; Chapter n, title; or the title; enumerators dropped."""
+    title = strip_heading_enumerator(text)
+    said = F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit("Section "), section_to_words(section), F.lit(", "), title, F.lit(".")))
+    return F.coalesce(said, F.when(chapter.isNotNull(), F.concat(F.lit("Chapter "), int_to_words(chapter), F.lit(". "), title, F.lit("."))), F.concat(title, F.lit(".")))
+
+
+def clean_caption(caption):
+    """Fig. in full, panels by letter, then speakable."""
+    panels = regex_map(F.regexp_replace(caption, r"(?i)\bFig\.\s*", "Figure "), r"\([A-Za-z]\)", lambda m: F.concat(F.lit("Panel "), F.upper(F.substring(m, 2, 1))))
+    return normalize_all(panels)
+
+
+def announce_nonprose(kind, latex):
+    """Equations by number, tables by a fixed sentence, nothing else."""
+    return F.when(kind == "equation_display", equation_announcement(latex)).when(kind == "table", "A table appears here in the text.")
 
 
 def script_segments(rows: DataFrame) -> DataFrame:

@@ -140,3 +140,27 @@ def test_corpus(spark, tmp_path):
     got = S.score(read_corpus(spark, str(tmp_path)))
     assert {(r.item, r.rate) for r in got.where("dimension = 'structure (chapters)'").collect()} == {("a", 1.0), ("b", 0.0)}
     assert Rp.scorecard(got).first().report.count("\n| ") == 9
+
+
+def test_section_mapping(spark):
+    rows = [(1, i, f"b{i}", t, None, x) for i, (t, x) in enumerate([("paragraph", "front"), ("heading", "Abstract"), ("paragraph", "a"), ("heading", "I. INTRODUCTION"), ("heading", "Conclusion"), ("paragraph", "c"), ("heading", "Introduction"), ("heading", "REFERENCES"), ("paragraph", "r")])]
+    sections = spark.createDataFrame([(1, 0, "Abstract", "abstract"), (1, 1, "Introduction", "body_chapter"), (1, 2, "References", "references")], "doc_id long, pos int, title string, kind string")
+    got = [(r.decision, r.section_chapter, r.section_head) for r in B.map_sections(spark.createDataFrame(rows, RAW), sections).orderBy("pos").collect()]
+    assert got == [("review", None, False), ("read", None, True), ("read", None, False), ("read", 1, True), ("read", 1, False), ("read", 1, False), ("read", 1, False), ("skip", None, True), ("skip", None, False)]
+
+
+def test_headings_and_captions(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("I. INTRODUCTION", 1, None), ("2.3 Methods", 2, "2.3"), ("Preface", None, None)], "t string, c int, s string")
+    got = [r[0] for r in df.select(pipeline.heading_announcement(F.col("t"), F.col("c"), F.col("s"))).collect()]
+    assert got == ["Chapter one. INTRODUCTION.", "Section two point three, Methods.", "Preface."]
+    assert df.limit(1).select(pipeline.clean_caption(F.lit("Fig. 2 (a) 5%"))).first()[0] == "Figure two Panel A five percent"
+
+
+def test_region_types(spark):
+    rows = [(1, 0, "b0", "frontmatter", None, "CHAPTER 1"), (1, 1, "b1", "paragraph", None, "text"), (1, 2, "b2", "table", None, "| x |")]
+    regions = spark.createDataFrame([(1, 0, 0, "chapter_body", 3, 0), (1, 1, 2, "bibliography", None, 1)], "doc_id long, first_pos int, last_pos int, kind string, chapter int, n int")
+    blocks = pipeline.as_blocks(spark.createDataFrame(rows, RAW))
+    got = B.retype_regions(B.apply_regions(blocks, regions)).orderBy("pos").collect()
+    assert [(r.type, r.chapter) for r in got] == [("heading", 3), ("reference_list", None), ("table", None)]
