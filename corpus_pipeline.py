@@ -22,7 +22,7 @@ def _documents(df: DataFrame, text) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, then documents that the quality rules reject."""
-    return _documents(quality.clean_lines(docs.select(*COLUMNS)).where("kept"), F.col("clean_text"))
+    return _documents(quality.keep_clean(docs.select(*COLUMNS)), F.col("text"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,3 +98,14 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PCT)
     return work.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") * 100 <= F.col("n_words") * MAX_LOST_PCT))
+
+
+def keep_clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The kept documents with their clean text in place, other columns as they were.
+
+    A filter on kept would be pushed below the projections and pull copies of all their expressions into one;
+    a generator's own output can't be pushed below it.
+    """
+    others = [c for c in docs.columns if c != text]
+    judged = clean_lines(docs, text).select(*others, F.when(F.col("kept"), F.array("clean_text")).alias("_texts"))
+    return judged.select(*others, F.explode_outer("_texts").alias(text)).where(F.col(text).isNotNull()).select(*docs.columns)

@@ -27,7 +27,7 @@ def test_stages(spark, sf, awkward, tmp_path, which):  # noqa: F811
             assert docs.columns == P.COLUMNS
             assert all(r["n_chars"] == len(r["text"]) for r in seen[-1])
     clean, single, redacted, mixed, packed = seen
-    judged = clean_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS)).where("kept").collect()
+    judged = [r for r in clean_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*P.COLUMNS)).collect() if r.kept]
     assert Counter((r["doc_id"], r["text"]) for r in clean) == Counter((r.doc_id, r.clean_text) for r in judged)
     component = classes_brute(clean, 5, 80)
     assert Counter(r["doc_id"] for r in single) == Counter(r["doc_id"] for r, c in zip(clean, component, strict=True) if c[2] is None or c[0] == c[2])
