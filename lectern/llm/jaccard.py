@@ -5,8 +5,8 @@ Texts with equal sets form a class; classes are joined:
 
 1. Tokens are ordered rarest first by a count-min sketch over all documents. Its size is fixed (CELLS), so it
    can be sent to all tasks; its errors change the speed, never the result.
-2. Classes are partitioned into groups: equal length band, equal least hash among tokens that aren't very
-   frequent, and at most about MEMBERS classes each (larger ones are dealt into blocks).
+2. Classes are partitioned into groups: equal length band, equal least hash among the more frequent half of
+   their tokens, and at most about MEMBERS classes each (larger ones are dealt into blocks).
 3. The matrix of groups and the tokens in their members' prefixes gives candidate (query, group) pairs: classes
    of similarity t share at least min(SHARED, ceil(t n)) of the first n - ceil(t n) + SHARED tokens, whichever
    common order is used. A group is one matrix row however many near copies it holds, so pairs of members are
@@ -146,7 +146,6 @@ def _posts(n: int, pct: int, sent):
 
     def run(batches):
         sketch = sent.value
-        common = 4 * float(sketch.mean()) + 256
         seen: set[bytes] = set()
         top = (1 << SIZE_BITS) - 1
         for b in sliced(batches, "text"):
@@ -156,8 +155,9 @@ def _posts(n: int, pct: int, sent):
                     continue
                 seen.add(key)
                 count = sketch[_cells(s)]
-                usual = s[count <= common]
-                group = int(_mix((usual if len(usual) else s)[:1])[0] >> np.uint64(SIZE_BITS + 1)) << SIZE_BITS
+                # the least hash among the more frequent half: what one near copy has alone doesn't set it apart
+                usual = s[count >= np.partition(count, len(s) // 2)[len(s) // 2]]
+                group = int(_mix(usual[:1])[0] >> np.uint64(SIZE_BITS + 1)) << SIZE_BITS
                 p = min(len(s), len(s) - _least(len(s), pct) + SHARED)
                 # ties by token: s is sorted, and the sort is stable
                 t.append(s[np.argsort(count, kind="stable")[:p]])
