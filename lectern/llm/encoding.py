@@ -23,7 +23,7 @@ CUT = "\x01"
 _WS = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = rf"\x01|{_WS}[ \n]|\n{_WS}"
 #: Characters of text encoded at once, and distinct chunks remembered from batch to batch: both bound memory.
-PART_CHARS, MEMO = 24_000_000, 800_000
+PART_CHARS, MEMO = 24_000_000, 600_000
 
 
 def tokenizer_path(name: str) -> str:

@@ -37,7 +37,7 @@ def _encoder(path: str):
         from pyspark import TaskContext
 
         lane, encoder = TaskContext.get().partitionId() << 24, Encoder.of(path)
-        for b in sliced(batches, "text", 16_000_000):
+        for b in sliced(batches, "text", 12_000_000):
             flat, ends = with_end(*encoder.encode(b.column("text")), END)
             docs, sources = b.column("doc_id").to_pylist(), b.column("source").to_pylist()
             of = (ends - 1) // LANE_TOKENS  # a document lies in the lane of its last id

@@ -151,7 +151,7 @@ def _writer(path: str, first_free: int):
             row = [part], [shard], [docs], [np.diff(ends, prepend=0).tolist()], [len(flat)], [compress(flat, ends, first_free)]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _SHARDS.types, strict=True)], schema=_SHARDS)
 
-        for b in sliced(batches, "text", 16_000_000):
+        for b in sliced(batches, "text", 12_000_000):
             flat, ends = with_end(*encoder.encode(b.column("text")), END)
             docs += b.column("doc_id").to_pylist()
             ids.append(flat)
