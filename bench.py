@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = [
-    "script_chunks", "chunk_plan", "text_normalized", "verified_pairs", "word_classes", "running_artifacts", "chapter_islands", "provenance_timeline", "blocks_at_time",
+    "chunk_plan", "text_normalized", "word_classes", "running_artifacts", "chapter_islands", "provenance_timeline", "blocks_at_time",
     "regions_applied", "pages_assigned", "integer_words", "section_words", "raw_token_leaks", "document_fingerprint",
 ]
 
