@@ -88,7 +88,7 @@ def op9_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return warc.read_archive(Scratch(spark, "warc").save(warc.archive(pages), "archive", "zstd")).drop("url")
+    return warc.read_archive(warc.archive(pages, Scratch(spark, "warc"))).drop("url")
 
 
 QUERIES = {f.__name__: f for f in (op1_chat, op2_secrets, op3_mixing, op4_jaccard, op5_token_store, op6_topk, op7_quality, op8_packing, op9_attribution, op10_warc)}

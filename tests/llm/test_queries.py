@@ -416,6 +416,29 @@ def test_warc_bytes():
     assert out[:5] == (9, len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response", None)
 
 
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    from lectern.llm import warc
+    from lectern.llm.common import Scratch
+
+    big = lambda k: bytes(97 + (k + i * i) % 26 for i in range(200_000)).decode()
+    a, b, c, d, e = map(big, range(5))
+    pages = [(1, a), (1, a), (1, b), (None, c), (None, c), (None, d), (None, a), (0, b), (2, e), (2, e), (1, e)]
+    df = spark.createDataFrame([(i, "http://x", h) for i, h in pages], "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    best = {a: 1, b: 1, c: None, d: None, e: 2}
+    want = [(i, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), *(("response", None) if i == best[h] else ("revisit", best[h]))) for i, h in pages]
+    got = Q.op10_warc(spark, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    same(got.collect(), want)
+    rows = warc.archive(df, Scratch(spark, "warc-test")).where("chunk_no = 0").collect()
+    heads = [dict(x.split(": ", 1) for x in bytes(r.data).split(b"\r\n\r\n")[0].decode().split("\r\n")[1:]) for r in rows]
+    names = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(names) == len({r.record for r in rows}) == len(pages)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            target = names[h["WARC-Refers-To"]]
+            assert target["WARC-Type"] == "response" and target["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+
+
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_empty_tables(spark, empty, name):
     assert Q.QUERIES[name](spark, empty).count() == (1 if name == "op1_chat" else 0)
