@@ -67,6 +67,16 @@ def test_normalizer(spark):
         assert not set(said) & set("%±^_<>[]µμ−")
 
 
+def test_normalizer_of_links_alone(spark):
+    texts = [
+        "The data are at www.example.com for every reader.", "See www.a.b.", "www.x.org, www.y.org and more", "at https://x.y/z now", "http://a.b", "on arxiv.org/abs here",
+        "the link in the text. the link in the text, here", "the link in the text once", "the www of things", "awww.yes it is", "(www.a.b)",
+    ]
+    got = values(spark, speak.normalize_all, texts)
+    assert got == [speak.normalize(t) for t in texts]
+    assert got[0] == "The data are at the link in the text for every reader."
+
+
 def test_python_numbers_match_columns(spark):
     ns = [0, 5, 13, 40, 99, 100, 101, 999, 1000, 1001, 123_456, 999_999_999, 10**9, 7_000_014]
     assert values(spark, numbers.int_to_words, ns) == [speak.cardinal(n) for n in ns]
