@@ -1,12 +1,15 @@
 """Mixture-controlled packing: deficit round-robin over source queues into windows of at most WINDOW ids.
 
-Lanes (runs of about LANE_TOKENS ids of encoded documents) are packed independently of each other. A window
+Lanes (about LANE_TOKENS ids each) are packed independently of each other. Every source's documents are dealt
+over all lanes by the sum of the source's ids before them, wherever they lie in the input, so that a lane holds
+each source in its share, give or take a run (RUN ids or one document). A window
 gives every source its share of WINDOW ids as credit; the source with the largest credit sends its next piece
 (up to QUANTUM ids or its credit, if that is more), until the window is full; credit over or under is carried
 to the next window. Lanes carry it on as well: a lane packs all it holds, so the credit that it leaves behind
 is share x its ids less its ids of the source, and what a lane starts with is the sum of that over the lanes
 before it, known from counts alone. What a lane has beyond full windows goes to windows of powers of two, so
-nothing is padded. Shares are those of all ids unless given; a source whose queue is empty lets others send.
+nothing is padded. Shares are those of all ids unless given. Given ones hold in all lanes up to the one in which
+a favoured source ends; the others share what follows, and sources without a share come last.
 
 Null text is the empty text (the end id alone); null sources are a source; equal ids stay separate documents.
 """
@@ -19,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_of
 from .encoding import Encoder, sliced
 from .token_store import with_end
 
-END, WINDOW, QUANTUM, LANE_TOKENS = 1, 2048, 512, 500_000
-LANES = "lane long, doc_ids array<long>, sources array<string>, lengths array<int>, ids binary"
-_LANES = pa.schema([("lane", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sources", pa.list_(pa.string())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
+END, WINDOW, QUANTUM, RUN, LANE_TOKENS = 1, 2048, 512, 2048, 500_000
+#: Documents of one source that are dealt together; within: ids of the source before it in its task (part).
+RUNS = "part int, source string, within long, n long, doc_ids array<long>, lengths array<int>, ids binary"
+_RUNS = pa.schema([("part", pa.int32()), ("source", pa.string()), ("within", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -36,17 +40,28 @@ def _encoder(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        lane, encoder = TaskContext.get().partitionId() << 24, Encoder.of(path)
+        part, encoder, sent = TaskContext.get().partitionId(), Encoder.of(path), {}
         for b in sliced(batches, "text", 12_000_000):
             flat, ends = with_end(*encoder.encode(b.column("text")), END)
-            docs, sources = b.column("doc_id").to_pylist(), b.column("source").to_pylist()
-            of = (ends - 1) // LANE_TOKENS  # a document lies in the lane of its last id
-            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(ends)]
-            sizes, data = np.diff(ends, prepend=0), flat.astype("<u2")  # ids of the vocabulary fit in 16 bits
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                row = [lane], [docs[x:y]], [sources[x:y]], [sizes[x:y]], [data[ends[x] - sizes[x] : ends[y - 1]].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _LANES.types, strict=True)], schema=_LANES)
-                lane += 1
+            coded = b.column("source").dictionary_encode()
+            names = [*coded.dictionary.to_pylist(), None]
+            codes = coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            codes, sizes = codes[order], np.diff(ends, prepend=0)[order]
+            upto = np.concatenate([[0], np.cumsum(sizes)])
+            place = np.repeat((ends[order] - upto[1:]).astype(np.int32), sizes)
+            place += np.arange(upto[-1], dtype=np.int32)
+            data = flat.astype("<u2")[place]  # ids of the vocabulary fit in 16 bits
+            own = np.bincount(codes, sizes, len(names)).astype(np.int64)
+            within = upto[:-1] + (np.array([sent.get(s, 0) for s in names]) - (np.cumsum(own) - own))[codes]
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(codes) != 0) | (np.diff(within // RUN) != 0)) + 1, [len(codes)]])
+            for s, n in zip(names, own.tolist(), strict=True):
+                sent[s] = sent.get(s, 0) + n
+            at, lists, bytes_ = cuts[:-1], pa.array(cuts, pa.int32()), (2 * upto[cuts]).astype(np.int32)
+            columns = [pa.array([part] * len(at), pa.int32()), pa.array([names[c] for c in codes[at]], pa.string()), pa.array(within[at], pa.int64()), pa.array(np.diff(upto[cuts]), pa.int64())]
+            columns += [pa.ListArray.from_arrays(lists, b.column("doc_id").take(pa.array(order))), pa.ListArray.from_arrays(lists, pa.array(sizes, pa.int32()))]
+            columns.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bytes_), pa.py_buffer(data)]))
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _RUNS.types, strict=True)], schema=_RUNS)
 
     return encode
 
@@ -83,29 +98,72 @@ def round_robin(lengths: list[int], sources: list, credit: dict, share: dict) ->
                     del credit[s]
 
 
+def _packed(lane: list[dict]) -> pa.RecordBatch:
+    """Pieces of a lane: its plan, then its runs."""
+    head, runs = lane[0], lane[1:]
+    data = memoryview(np.frombuffer(b"".join(r["ids"] for r in runs), "<u2").astype("<u4")).cast("B")
+    doc_ids, n = ([x for r in runs for x in r[c]] for c in ("doc_ids", "lengths"))
+    sources = [r["source"] for r in runs for _ in r["doc_ids"]]
+    begins = np.concatenate([[0], np.cumsum(n)]).tolist()
+    plan = {p["source"]: p for p in head["plan"]}
+    pieces = list(round_robin(n, sources, {s: p["credit"] for s, p in plan.items()}, {s: p["share"] for s, p in plan.items()}))
+    doc, start, size, window, offset = zip(*pieces, strict=True)
+    crc = [zlib.crc32(data[4 * (begins[i] + s) : 4 * (begins[i] + s + k)]) for i, s, k in zip(doc, start, size, strict=True)]
+    columns = [pa.array([doc_ids[i] for i in doc], pa.int64()), pa.array([sources[i] for i in doc], pa.string())]
+    columns += [pa.array(x, pa.int64()) for x in (start, size, crc, [n[i] for i in doc], np.array(window) + head["first"], offset)]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
 def _pack(batches):
+    held: list[dict] = []
     for b in batches:
         for row in b.to_pylist():
-            ids = np.frombuffer(row["ids"], "<u2").astype("<u4")
-            data = memoryview(ids).cast("B")
-            n = row["lengths"]
-            begins = np.concatenate([[0], np.cumsum(n)]).tolist()
-            plan = {p["source"]: p for p in row["plan"]}
-            pieces = list(round_robin(n, row["sources"], {s: p["credit"] for s, p in plan.items()}, {s: p["share"] for s, p in plan.items()}))
-            doc, start, size, window, offset = zip(*pieces, strict=True)
-            crc = [zlib.crc32(data[4 * (begins[i] + s) : 4 * (begins[i] + s + k)]) for i, s, k in zip(doc, start, size, strict=True)]
-            columns = [pa.array([row["doc_ids"][i] for i in doc], pa.int64()), pa.array([row["sources"][i] for i in doc], pa.string())]
-            columns += [pa.array(x, pa.int64()) for x in (start, size, crc, [n[i] for i in doc], np.array(window) + row["first"], offset)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            if held and row["lane"] != held[0]["lane"]:
+                yield _packed(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _packed(held)
+
+
+def _sent_before(totals: DataFrame, shares: dict | None) -> Column:
+    """All ids that come before an id, from `at` (ids of its source before it), `all` (of its source) and `total`.
+
+    With shares, source s has sent share x t at time t, until it ends at all / share. Sources without one follow
+    in proportion. The ends of the named sources are collected: as many as there are shares.
+    """
+    if shares is None:
+        return F.col("at") * F.col("total") / F.col("all")
+    named = [s for s, v in shares.items() if v > 0]
+    known = F.lit(False)
+    for s in named:
+        known = known | F.col("source").eqNullSafe(s)
+    sizes = {r["source"]: r["all"] for r in totals.where(known).select("source", "all").collect()}
+    given = {s: float(shares[s]) for s in named if s in sizes}
+    share = F.coalesce(*[F.when(F.col("source").eqNullSafe(s), F.lit(v)) for s, v in given.items()], F.lit(0.0))
+    t = F.col("at") / share
+    sent = F.lit(0.0)
+    for s, v in given.items():
+        sent = sent + F.least(F.lit(float(sizes[s])), t * v)
+    first = float(sum(sizes.values()))
+    return F.when(share > 0, sent).otherwise(first + F.col("at") * (F.col("total") - first) / F.col("all"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, scratch: Scratch, path: str, shares: dict | None = None) -> DataFrame:
     """PIECES for documents(doc_id, text, source). Each id lies in one piece; windows are full."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.col("source").cast("string").alias("source"))
-    lanes = scratch.save(rows.mapInArrow(_encoder(path), LANES), "lanes")
-    held = lanes.select("lane", F.explode(F.arrays_zip("sources", "lengths")).alias("x")).groupBy("lane", F.col("x.sources").alias("source")).agg(F.sum("x.lengths").alias("n"))
-    held = scratch.save(held, "held")
+    runs = scratch.save(rows.mapInArrow(_encoder(path), RUNS), "runs")
+    held = scratch.save(runs.groupBy("part", "source").agg(F.sum("n").alias("n")), "held")
     total = held.groupBy("source").agg(F.sum("n").alias("all"))
+    # where each task's ids of a source begin in all of the source; a row for each task and source, so mostly small enough for Spark to broadcast
+    before = lambda key, *by: Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.withColumn("begin", F.coalesce(F.sum("n").over(before("part", "source")), F.lit(0))).select(F.col("part").alias("_part"), F.col("source").alias("_source"), "begin")
+    ends = total.select(F.col("source").alias("_of"), "all", F.sum("all").over(Window.partitionBy()).alias("total"))
+    starts = scratch.save(starts.join(ends, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of"), "starts")
+    met = runs.join(starts, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("at", F.col("begin") + F.col("within"))
+    count = F.greatest(F.lit(1), F.round(F.col("total") / LANE_TOKENS))
+    placed = met.withColumn("lane", F.floor(_sent_before(total, shares) * count / F.col("total")).cast("long"))
+    own = scratch.save(placed.groupBy("lane", "source").agg(F.sum("n").alias("n")), "lanes")
     if shares is None:
         total = total.withColumn("share", F.col("all") / F.sum("all").over(Window.partitionBy()))
     else:
@@ -113,14 +171,17 @@ def pack(spark: SparkSession, docs: DataFrame, scratch: Scratch, path: str, shar
         given = F.coalesce(*[F.when(F.col("source").eqNullSafe(s), F.lit(v / sum_)) for s, v in shares.items()], F.lit(0.0))
         total = total.withColumn("share", given)
     # a lane's ids, and each source's credit before it: over lanes, of which there is one for LANE_TOKENS ids
-    before = lambda *by: Window.partitionBy(*by).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = held.groupBy("lane").agg(F.sum("n").alias("size"))
+    sizes = own.groupBy("lane").agg(F.sum("n").alias("size"))
     rest = F.col("size") % WINDOW
-    sizes = sizes.withColumn("first", F.coalesce(F.sum(F.floor(F.col("size") / WINDOW) + F.bit_count(rest)).over(before()), F.lit(0)))
-    sizes = sizes.withColumn("so_far", F.coalesce(F.sum("size").over(before()), F.lit(0)))
-    own = held.withColumn("sent", F.coalesce(F.sum("n").over(before("source")), F.lit(0)))
+    sizes = sizes.withColumn("first", F.coalesce(F.sum(F.floor(F.col("size") / WINDOW) + F.bit_count(rest)).over(before("lane")), F.lit(0)))
+    sizes = sizes.withColumn("so_far", F.coalesce(F.sum("size").over(before("lane")), F.lit(0)))
+    own = own.withColumn("sent", F.coalesce(F.sum("n").over(before("lane", "source")), F.lit(0)))
     named = total.select(F.col("source").alias("_source"), "share")
     plan = own.join(named, F.col("source").eqNullSafe(F.col("_source"))).join(sizes, "lane")
     entry = F.struct("source", "share", (F.col("share") * F.col("so_far") - F.col("sent")).alias("credit"))
     plan = plan.groupBy("lane").agg(F.collect_list(entry).alias("plan"), F.first("first").alias("first"))
-    return lanes.join(plan.hint("shuffle_hash"), "lane").mapInArrow(_pack, PIECES)
+    # a lane's plan comes before its runs; dealt by repartition, as a join's partitions may be cut inside a lane
+    both = placed.select("lane", "part", "within", "source", "doc_ids", "lengths", "ids").unionByName(plan.withColumn("part", F.lit(-1)), allowMissingColumns=True)
+    ids = starts.agg(F.max("total")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, ids // (8 * LANE_TOKENS))  # about eight lanes a task, whatever the input's size
+    return both.repartition(parts, "lane").sortWithinPartitions("lane", "part", "within").mapInArrow(_pack, PIECES)

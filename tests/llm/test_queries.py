@@ -365,6 +365,36 @@ def test_round_robin_holds_shares():
             assert abs(so_far[s] - share[s] * sum(so_far.values())) <= 2048
 
 
+@pytest.mark.parametrize("shares", [None, {"a": 0.5, None: 0.5}])
+def test_packing_mixes_sources_that_lie_apart(spark, tmp_path, monkeypatch, shares):
+    from lectern.llm import packing
+    from lectern.llm.common import Scratch
+
+    monkeypatch.setattr(packing, "LANE_TOKENS", 50_000)
+    rng = random.Random(3)
+    word = lambda: rng.choice(["red", "green", "blue"])
+    rows = [(k, " ".join(word() for _ in range(rng.randrange(1, 400))), s) for k, s in enumerate(["a"] * 600 + ["b"] * 300 + [None] * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(3, "doc_id")
+    got = packing.pack(spark, docs, Scratch(spark, "apart"), tokenizer_path(Q.WORD_BPE), shares).collect()
+    total, windows = Counter(), defaultdict(Counter)
+    for r in got:
+        total[r.source] += r.length
+        windows[r.sequence_id][r.source] += r.length
+    ids = sum(total.values())
+    assert len(windows) > 80 and ids == sum(map(len, encoded([{"text": t} for _, t, _ in rows], Q.WORD_BPE, 1)))
+    share = {s: n / ids for s, n in total.items()} if shares is None else shares
+    end = ids if shares is None else min(total[s] / v for s, v in share.items())
+    so_far, at = Counter(), 0
+    for w in sorted(windows):
+        so_far.update(windows[w])
+        at += sum(windows[w].values())
+        if at < end - 50_000:
+            for s in total:
+                assert abs(so_far[s] - share.get(s, 0.0) * at) <= 2 * 2048
+                if sum(windows[w].values()) == 2048:
+                    assert abs(windows[w][s] - share.get(s, 0.0) * 2048) <= 1024
+
+
 def test_op9(spark, data):
     tok = Tokenizer.from_file(tokenizer_path(Q.BYTE_BPE))
     tok.encode_special_tokens = True
