@@ -1,4 +1,4 @@
-"""Stage lists over block tables, with a schema check at every boundary, and the offline narration engine."""
+"""Stage lists over block tables, with a schema check at every boundary, and the rules of the narration engine."""
 
 from __future__ import annotations
 
@@ -46,7 +46,7 @@ def rule_stages(table_handling: str = "summarize", include_appendices: bool = Fa
     return [
         ("build_ir", B.build_ir),
         ("select", lambda b: B.select_policy(b, table_handling, include_appendices)),
-        ("math", B.announce_equations),
+        ("math", lambda b: announce_tables(B.announce_equations(b))),
         ("citations", _spoken(naturalize_citations)),
         ("normalize", _spoken(normalize_all)),
         ("signpost", (lambda b: b) if include_appendices else B.apply_signposts),
@@ -72,6 +72,12 @@ def heading_announcement(text, chapter, section):
     return F.coalesce(said, F.when(chapter.isNotNull(), F.concat(F.lit("Chapter "), int_to_words(chapter), F.lit(". "), title, F.lit("."))), F.concat(title, F.lit(".")))
 
 
+def announce_tables(rows: DataFrame) -> DataFrame:
+    """Kept tables that nothing else speaks get the fixed sentence, so that their raw text is never read out."""
+    silent = F.col("keep") & (F.col("type") == "table") & (F.col("handling") == "summarize") & F.col("spoken").isNull()
+    return rows.withColumn("spoken", F.when(silent, announce_nonprose(F.col("type"), F.col("latex"))).otherwise(F.col("spoken")))
+
+
 def clean_caption(caption):
     """Fig. in full, panels by letter, then speakable."""
     panels = regex_map(F.regexp_replace(caption, r"(?i)\bFig\.\s*", "Figure "), r"\([A-Za-z]\)", lambda m: F.concat(F.lit("Panel "), F.upper(F.substring(m, 2, 1))))

@@ -94,6 +94,14 @@ def test_stage_slices(spark):
     assert got.spoken == "It was five." and got.handling == "speak"
 
 
+def test_tables_are_announced(spark):
+    rows = [(1, 0, "b0", "paragraph", None, "Before."), (1, 1, "b1", "table", None, "| a | b |\n|-|-|\n| 1 | 2 |"), (1, 2, "b2", "paragraph", None, "After.")]
+    blocks = pipeline.as_blocks(spark.createDataFrame(rows, RAW))
+    said = lambda kind: [r.text.strip() for r in pipeline.script_segments(pipeline.run_stages(blocks, pipeline.rule_stages(kind))).orderBy("pos").collect()]
+    assert said("summarize") == ["Before.", "A table appears here in the text.", "After."]
+    assert said("skip") == ["Before.", "After."]
+
+
 def test_cache_and_stream(spark, tmp_path):
     from lectern.streaming import documents as stream
 
