@@ -26,11 +26,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id stays."""
-    docs = docs.select(*COLUMNS)
-    classes = jaccard.jaccard_components(spark, docs, Scratch(spark, "near-copies"), words=5, percent=80)
-    stays = classes.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stays.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS)
+    """Of each group of near copies (five words, 0.8) one row stays: that with the smallest id, null ids last.
+
+    Rows are numbered and written first, so that repeated and null ids are rows like any other.
+    """
+    scratch = Scratch(spark, "near-copies")
+    docs = scratch.save(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    classes = jaccard.jaccard_components(spark, docs.select(F.col("_row").alias("doc_id"), "text"), scratch, words=5, percent=80)
+    named = docs.select("_row", "doc_id").join(classes.select(F.col("doc_id").alias("_row"), "component_id").hint("shuffle_hash"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    stays = named.groupBy("component_id").agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return docs.join(stays.hint("shuffle_hash"), "_row").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,5 +39,14 @@ def test_stages(spark, sf, awkward, tmp_path, which):  # noqa: F811
     assert sum(r["length"] for r in packed) == sum(map(len, encoded(mixed, "word_bpe_49k.json", 1)))
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(5, text(0)), (5, text(0)), (5, near(0)), (6, text(0)), (None, text(1)), (None, near(1)), (7, text(2)), (None, near(2)), (8, text(3)), (8, text(4)), (9, None), (9, "few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(r["doc_id"] for r in documents(P.deduplicate(spark, docs, "")))
+    assert got == Counter({5: 1, None: 1, 7: 1, 8: 2, 9: 2})
+
+
 def test_empty(spark, empty):  # noqa: F811
     assert P.run(spark, empty).count() == 0
