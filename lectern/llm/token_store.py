@@ -2,7 +2,7 @@
 
 A shard is a run of documents in ascending id order. Rounds replace frequent adjacent id pairs by nonterminals
 (the PAIRS most frequent with MIN_COUNT or more, left to right without overlap, never across a document's
-end). The file holds the rules, each rule's expansion length, the symbol sequence and each document's place in
+end), until no pair is left that occurs MIN_COUNT times. The file holds the rules, each rule's expansion length, the symbol sequence and each document's place in
 it, so one document decodes without the rest. File layout, little-endian:
 
     magic "RPR1", u32 first id that is a nonterminal, u32 rules, u32 documents, u64 symbols,
@@ -29,7 +29,7 @@ from .encoding import Encoder, sliced
 
 END = 0
 SHARD_TOKENS = 2_000_000
-ROUNDS, PAIRS, MIN_COUNT, HASH_BITS = 4, 4096, 16, 21
+PAIRS, MIN_COUNT, HASH_BITS = 4096, 16, 21
 SHARDS = "part int, shard_no int, doc_ids array<long>, lengths array<int>, tokens long, file binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("shard_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.int64()), ("file", pa.binary())])
 
@@ -40,9 +40,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int) -> bytes:
     stop = np.zeros(len(seq), dtype=bool)
     stop[ends - 1] = True
     left, right, size = [np.empty(0, np.uint32)] * 3
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) >= 2:
         a, b = seq[:-1], seq[1:]
         slot = ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
         open_ = ~stop[:-1]

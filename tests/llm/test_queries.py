@@ -469,6 +469,19 @@ def test_warc_repeated_and_null_ids(spark, tmp_path):
             assert target["WARC-Type"] == "response" and target["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
 
 
+def test_shard_file_long_repeats():
+    from lectern.llm.token_store import MIN_COUNT, ShardFile, compress
+
+    passage = np.random.default_rng(1).permutation(50_000)[:256] + 1
+    docs = [np.append(passage, 0)] * 400
+    ends = np.cumsum([len(d) for d in docs])
+    shard = ShardFile(compress(np.concatenate(docs).astype(np.uint32), ends, 50257))
+    assert all(shard.document(i).tolist() == docs[i].tolist() for i in range(400))
+    assert len(shard.seq) == 400  # a symbol for the whole passage with its end
+    pairs = Counter(p for i in range(400) for s in [shard.seq[shard.begins[i] : shard.begins[i + 1]].tolist()] for p in zip(s, s[1:], strict=False))
+    assert max(pairs.values(), default=0) < MIN_COUNT
+
+
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_empty_tables(spark, empty, name):
     assert Q.QUERIES[name](spark, empty).count() == (1 if name == "op1_chat" else 0)
