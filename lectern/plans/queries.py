@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import citations, numbers, speak, verify
+from ..functions import citations, markup, numbers, speak, verify
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import chunks as C
@@ -269,6 +269,11 @@ def text_normalized(spark, sf_dir):
 
 @query()
 def markup_stripped(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", markup.clean_markup(F.coalesce("html", F.lit(""))).alias("text"))
+
+
+@query()
+def citations_naturalized(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", citations.naturalize_citations(F.coalesce("html", F.lit(""))).alias("text"))
 
 

@@ -29,6 +29,11 @@ def plain(x):
     return x
 
 
+def test_markup_stripped_strips(spark, tmp_path):
+    spark.createDataFrame([(1, "<b>a&gt;b</b> m<sup>2</sup>"), (2, None)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert dict(Q.QUERIES["markup_stripped"](spark, str(tmp_path)).collect()) == {1: "a greater than b m squared", 2: ""}
+
+
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_query(spark, sf, con, name):
     got = Q.QUERIES[name](spark, sf)
