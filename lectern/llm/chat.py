@@ -60,7 +60,7 @@ def reply_paths(spark: SparkSession, messages: DataFrame, scratch: Scratch, bran
     """(path, root, msg, pos, path_rank): the messages of each chosen root-to-leaf path, pos from 0 at the root.
 
     Paths of a root are ranked by mean score, highest first, ties to the smaller leaf; `branches` keeps that
-    many of each root, None all. Round k joins the 2^k-step ancestor table with itself, so a tree of depth d
+    many of each root; None keeps all, and leaves out root and path_rank. Round k joins the 2^k-step ancestor table with itself, so a tree of depth d
     takes log2(d) self-joins on message ids, which are unique and so spread evenly.
     """
     own = messages.select("msg", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
