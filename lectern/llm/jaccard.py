@@ -52,7 +52,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; A-Z are lower-cased, words are split at ASCII white space."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), r"[\x20\x09-\x0D]+")
+    # filled first: ascii_lower on a slice cast to large_string returns wrong bytes (seen with pyarrow 23.0.1)
+    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_string()), r"[\x20\x09-\x0D]+")
     flat = lists.flatten()
     real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
     at = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
