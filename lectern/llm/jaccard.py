@@ -6,19 +6,23 @@ Texts with equal sets form a class; classes are joined:
 1. Tokens are ordered rarest first by a count-min sketch over all documents. Its size is fixed (CELLS), so it
    can be sent to all tasks; its errors change the speed, never the result.
 2. Classes are partitioned into groups: equal length band, equal least hash among the more frequent half of
-   their tokens, and at most about MEMBERS classes each (larger ones are dealt into blocks).
+   their tokens, and at most about MEMBERS classes and MEMBER_TOKENS tokens each (larger ones are dealt into blocks).
 3. The matrix of groups and the tokens in their members' prefixes gives candidate (query, group) pairs: classes
    of similarity t share at least min(SHARED, ceil(t n)) of the first n - ceil(t n) + SHARED tokens, whichever
    common order is used. A group is one matrix row however many near copies it holds, so pairs of members are
    never made.
 4. Texts that a candidate names move once; with a group's members together, its token union is stored, and a
    query's overlap with the union bounds its overlap with any member. Only groups whose bound reaches the
-   threshold are opened: exact intersections by the group's inverted index, compared in integers.
-5. Links become a union-find forest in each group (at most one edge a member and visitor), and large-star /
+   threshold are opened: exact intersections by the group's inverted index, compared in integers. Queries of a
+   group are dealt over cells of at most about VISITORS queries and VISITOR_TOKENS tokens, each with all members
+   of the group, so neither a group nor its queries meet in one task when they are many.
+5. Links become a union-find forest in each cell (at most one edge a member and visitor), and large-star /
    small-star rounds over the forests' edges give components. Links are counted, not listed.
 
 Null text, empty text and text without words: empty set, no links. Null ids take part through their text, and
-never name a component unless it has no other id. Repeated rows and ids are texts like any other.
+never name a component unless it has no other id. Repeated rows and ids are texts like any other, so equal ids
+get a row each. An empty table gives an empty result. A text's tokens (8 bytes each) are held in one piece, so the
+longest text bounds memory; others go in slices of SLICE bytes. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,11 +38,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .encoding import sliced
 
 CELLS, SKETCH_BLOCKS = 1 << 21, 64
-SHARED, MEMBERS, BAND = 3, 1024, 1.1
+SHARED, BAND = 3, 1.1
+#: Bounds of a group and of the queries that meet it in one place; one text at least.
+MEMBERS, MEMBER_TOKENS, VISITORS, VISITOR_TOKENS = 1024, 1 << 20, 4096, 1 << 22
+#: Bytes of text that are cut into tokens at once.
+SLICE = 6_000_000
 #: Bits of a post's size field.
 SIZE_BITS = 24
 _A, _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -87,8 +95,9 @@ def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens * _A >> np.uint64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
 
 
-_CLASSES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sid", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-CLASSES = "doc_id long, n long, key binary, sid long, block int, counts binary"
+#: hash: the text's, which tells rows with equal ids apart.
+_CLASSES = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("sid", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
+CLASSES = "doc_id long, hash long, n long, key binary, sid long, block int, counts binary"
 _PER_BLOCK = CELLS // SKETCH_BLOCKS
 
 
@@ -100,21 +109,25 @@ def _sketch_rows(sketch: np.ndarray) -> pa.RecordBatch:
         if len(some):
             rows.append((b, some.astype("<u2").tobytes() + own[some].astype("<u4").tobytes()))
     n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_CLASSES)
+    empty = [pa.nulls(n, f.type) for f in _CLASSES][:-2]
+    return pa.RecordBatch.from_arrays([*empty, pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=_CLASSES)
 
 
 def _classify(n: int):
     def run(batches):
         sketch = np.zeros(CELLS, dtype=np.uint32)
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SLICE):
             sets = list(token_sets(b.column("text"), n))
-            if sets:
-                sketch += np.bincount(_cells(np.concatenate(sets)), minlength=CELLS).astype(np.uint32)
+            cells = _cells(np.concatenate(sets))
+            cells.sort()
+            first = np.flatnonzero(np.diff(cells, prepend=-1))
+            sketch[cells[first]] += np.diff(first, append=len(cells)).astype(np.uint32)
             keys = [key_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([None if k is None else sid_of(k) for k in keys], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=_CLASSES)
+            ids = pa.array([None if k is None else sid_of(k) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), ids, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=_CLASSES)
         yield _sketch_rows(sketch)
 
-    return run
+    return lean(run)
 
 
 def _merge_sketch(batches):
@@ -149,7 +162,7 @@ def _posts(n: int, pct: int, sent):
         sketch = sent.value
         seen: set[bytes] = set()
         top = (1 << SIZE_BITS) - 1
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SLICE):
             t, ids, gn, sizes = [], [], [], []
             for s in token_sets(b.column("text"), n):
                 if not len(s) or (key := key_of(s)) in seen:
@@ -168,32 +181,38 @@ def _posts(n: int, pct: int, sent):
             if t:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(t).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), sizes)), pa.array(np.repeat(np.array(gn, np.int64), sizes))], schema=_POSTS)
 
-    return run
+    return lean(run)
 
 
-_VISITS = pa.schema([("grp", pa.int64()), ("role", pa.int32()), ("key", pa.binary()), ("copies", pa.int64()), ("tokens", pa.binary())])
-VISITS = "grp long, role int, key binary, copies long, tokens binary"
+_VISITS = pa.schema([("cell", pa.int64()), ("role", pa.int32()), ("key", pa.binary()), ("copies", pa.int64()), ("tokens", pa.binary())])
+VISITS = "cell long, role int, key binary, copies long, tokens binary"
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
 def _visits(n: int):
+    """The token set of each text, once for each cell that it takes part in."""
+
     def run(batches):
-        for b in sliced(batches, "text", 4_000_000):
+        for b in sliced(batches, "text", SLICE // 2):
             keys, copies, visits = (b.column(c).to_pylist() for c in ("key", "copies", "visits"))
             rows, size = [], 0
             for i, s in enumerate(token_sets(b.column("text"), n)):
                 if key_of(s) != keys[i]:
-                    continue
+                    raise ValueError("a text's tokens don't match the key it was classified by")
                 data = s.tobytes()
                 for v in visits[i]:
-                    rows.append((v["grp"], v["role"], keys[i], copies[i], data))
+                    rows.append((v["cell"], v["role"], keys[i], copies[i], data))
                     size += len(data)
-                if size > 16 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _VISITS.types, strict=True)], schema=_VISITS)
-                    rows, size = [], 0
+                    if size > 8 << 20:
+                        yield _batch(rows, _VISITS)
+                        rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _VISITS.types, strict=True)], schema=_VISITS)
+                yield _batch(rows, _VISITS)
 
-    return run
+    return lean(run)
 
 
 class Group:
@@ -204,18 +223,21 @@ class Group:
         self.visitors: list[tuple[bytes, int, int]] = []
 
     def add(self, key: bytes, copies: int, tokens: np.ndarray) -> None:
-        if key not in self.keys[-1:]:  # a class may arrive twice if its first document does
-            self.keys.append(key)
-            self.copies.append(copies)
-            self.sets.append(tokens)
+        self.keys.append(key)
+        self.copies.append(copies)
+        self.sets.append(tokens)
 
     def close(self) -> None:
         sizes = np.array([len(s) for s in self.sets])
         flat = np.concatenate(self.sets)
+        self.sets.clear()
         order = np.argsort(flat, kind="stable")
-        self.union, self.at = np.unique(flat[order], return_index=True)
+        self.index = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        flat = flat[order]
+        del order
+        self.at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        self.union = flat[self.at]
         self.at = np.append(self.at, len(flat))
-        self.index = np.repeat(np.arange(len(sizes)), sizes)[order]
         self.sizes, self.weight, self.least = sizes, np.array(self.copies), int(sizes.min())
         self.place = {k: i for i, k in enumerate(self.keys)}
         self.root = list(range(len(sizes)))
@@ -268,46 +290,60 @@ class Group:
 
 
 LINKS = "a binary, b binary, links long"
+_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
+
+
+def _token_views(column: pa.Array) -> list[np.ndarray]:
+    """The values of a binary column as views on its buffer."""
+    _, at, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(at, wide)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return [flat[x:y].view(np.uint64) for x, y in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
 def _verify(pct: int):
-    def run(batches):
-        group, now, rows = None, None, []
+    """Links of each cell. Rows come by cell, members first; equal neighbours are one class that two rows brought."""
 
+    def run(batches):
+        group, now, last, rows = None, None, None, []
         for b in batches:
-            for grp, role, key, copies, tokens in zip(*(b.column(c).to_pylist() for c in ("grp", "role", "key", "copies", "tokens")), strict=True):
-                if grp != now:
+            columns = (b.column(c).to_pylist() for c in ("cell", "role", "key", "copies"))
+            for cell, role, key, copies, s in zip(*columns, _token_views(b.column("tokens")), strict=True):
+                if cell != now:
                     if group is not None:
                         rows += group.edges()
-                    group, now, last = Group(pct), grp, None
-                s = np.frombuffer(tokens, np.uint64)
+                    group, now, last = Group(pct), cell, None
+                if (role, key) == last:
+                    continue
+                last = role, key
                 if role == 0:
-                    group.add(key, copies, s)
-                elif key != last and group.keys:
-                    last = key
+                    group.add(key, copies, s.copy())
+                elif group.keys:
                     group.visit(key, s)
                     if len(group.visitors) > 50_000:
                         rows += group.edges()
             if len(rows) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "links"])
+                yield _batch(rows, _LINKS)
                 rows.clear()
         if group is not None:
             rows += group.edges()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "links"])
+            yield _batch(rows, _LINKS)
 
-    return run
+    return lean(run)
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root) for every node of edges(a, b): large-star and small-star rounds until nothing changes."""
+    """(node, root) for every node of edges(a, b): large-star and small-star rounds until only stars are left."""
     edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges0")
-    k, before = 0, None
+    k = 0
     while True:
-        state = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1000003), F.lit(0))).first())
-        if state == before or not state[0]:
+        # edges lead down, so a forest of stars has no node with two ways down, or one way down and one up
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        if ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 0 and down + up > 1").isEmpty():
             break
-        before, k = state, k + 1
+        k += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -316,7 +352,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         edges = scratch.save(small, f"edges{k}")
         scratch.drop(f"edges{k - 1}")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def band(n: Column) -> Column:
@@ -325,52 +361,68 @@ def band(n: Column) -> Column:
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, class_size) of documents(doc_id, text); links of `percent` similarity or more."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     made = scratch.save(texts.mapInArrow(_classify(words), CLASSES), "classes")
-    classes = made.where("block is null").select("doc_id", "n", "key", "sid")
+    classes = made.where("block is null").select("doc_id", "hash", "n", "key", "sid")
     sent = spark.sparkContext.broadcast(_merged_sketch(spark, made.where("block is not null").select("block", "counts")))
 
     # tokens in the prefixes of two classes or more
     posts = texts.where("text is not null").select("text").mapInArrow(_posts(words, percent, sent), "t long, sid long, gn long")
+    posts = scratch.save(posts, "posts")
+    sent.unpersist()
     ends = posts.groupBy("t").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("t")
-    posts = scratch.save(posts.dropDuplicates(["t", "sid"]).join(ends, "t", "left_semi"), "posts")
+    posts = posts.join(ends, "t", "left_semi").dropDuplicates(["t", "sid"])
 
+    # groups, cut into blocks of bounded members and tokens
     top = (1 << SIZE_BITS) - 1
     n = F.col("gn").bitwiseAND(F.lit(top))
-    grouped = posts.select("t", "sid", n.alias("n"), F.xxhash64(F.shiftright("gn", SIZE_BITS), band(n)).alias("grp"))
-    sizes = grouped.groupBy("grp").agg(F.count_distinct("sid").alias("k")).where(F.col("k") > MEMBERS)
-    dealt = F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.ceil(F.col("k") / MEMBERS)))
-    grouped = scratch.save(grouped.join(sizes, "grp", "left").select("t", "sid", "n", F.when(F.col("k").isNotNull(), dealt).otherwise(F.col("grp")).alias("grp")), "grouped")
+    grouped = scratch.save(posts.select("t", "sid", n.alias("n"), F.xxhash64(F.shiftright("gn", SIZE_BITS), band(n)).alias("grp")), "grouped0")
     scratch.drop("posts")
+    blocks = F.ceil(F.greatest(F.col("k") / MEMBERS, F.col("tokens") / MEMBER_TOKENS))
+    sizes = grouped.select("sid", "n", "grp").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).select("grp", blocks.alias("blocks")).where("blocks > 1")
+    dealt = F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    grouped = scratch.save(grouped.join(sizes, "grp", "left").select("t", "sid", "n", F.when(F.col("blocks").isNotNull(), dealt).otherwise(F.col("grp")).alias("grp")), "grouped")
+    scratch.drop("grouped0")
+
+    # the matrix gives queries of groups
     matrix = grouped.groupBy("t", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("k"))
     matrix = matrix.withColumnRenamed("grp", "g")
     fits = (F.col("n") >= top) | (F.col("high") >= top) | ((F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100))
     met = grouped.join(matrix, "t").where(fits & ((F.col("g") != F.col("grp")) | (F.col("k") > 1)))
     enough = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
     queries = met.groupBy("sid", "n", "g").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= enough)
-    queries = scratch.save(queries.select("sid", F.col("g").alias("grp")).distinct(), "queries")
-    members = grouped.select("sid", "grp").distinct().join(queries.select("grp").distinct(), "grp", "left_semi")
-    visits = queries.select("sid", "grp", F.lit(1).alias("role")).unionByName(members.select("sid", "grp", F.lit(0).alias("role")))
-    visits = visits.groupBy("sid").agg(F.collect_list(F.struct("grp", "role")).alias("visits"))
-
-    distinct = classes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("sid").alias("sid"))
-    need = distinct.join(visits, "sid").select("key", "rep", "copies", "visits")
-    brought = texts.where("text is not null").join(need.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "key", "copies", "visits")
-    placed = brought.mapInArrow(_visits(words), VISITS).repartition("grp").sortWithinPartitions("grp", "role", "key")
+    queries = scratch.save(queries.select("sid", "n", F.col("g").alias("grp")).distinct(), "queries")
+
+    # and cells of bounded queries, each with all members of the group
+    cells = queries.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / VISITORS, F.sum("n") / VISITOR_TOKENS)).alias("cells"))
+    members = grouped.select("sid", "grp").distinct().join(cells, "grp").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    visitors = queries.join(cells, "grp").withColumn("c", F.pmod(F.xxhash64("sid"), F.col("cells")))
+    place = F.struct(F.xxhash64("grp", "c").alias("cell"), "role")
+    visits = visitors.select("sid", "grp", "c", F.lit(1).alias("role")).unionByName(members.select("sid", "grp", "c", F.lit(0).alias("role")))
+    visits = visits.groupBy("sid").agg(F.collect_list(place).alias("visits"))
+
+    # one row brings each class's text: the least (id, hash); rows equal in both bring the same
+    distinct = classes.where("key is not null").groupBy("key", "sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "hash")).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    distinct = scratch.save(distinct, "distinct")
+    need = distinct.join(visits, "sid").select("key", "copies", "visits", F.col("rep.doc_id").alias("_id"), F.col("rep.hash").alias("_hash"))
+    one = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
+    brought = texts.where("text is not null").join(need.hint("shuffle_hash"), one).select("text", "key", "copies", "visits")
+    placed = brought.mapInArrow(_visits(words), VISITS).repartition("cell").sortWithinPartitions("cell", "role", "key")
     links = scratch.save(placed.mapInArrow(_verify(percent), LINKS), "links")
+    scratch.drop("grouped", "queries")
+
     roots = components(spark, links.select("a", "b"), scratch)
     counted = links.where("links > 0").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "key")
-    by_key = distinct.select("key", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counted, "key", "left")
-    all_ = classes.join(by_key, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = all_.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = all_.join(named, "root", "left").select(
+    by_key = distinct.select("key", "least", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counted, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = by_key.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_key = by_key.join(named, "root").select("key", "copies", "component_id", "links")
+    out = classes.join(by_key, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(F.col("key").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("class_size"),
     )
     out = scratch.save(out, "result")
-    scratch.drop("classes", "grouped", "queries", "links")
-    sent.unpersist()
+    scratch.drop("classes", "distinct", "links")
     return out
