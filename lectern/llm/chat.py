@@ -2,7 +2,8 @@
 
 DataFrame functions only. A message is (msg, parent, score, role, text). A parent that is null, absent or the
 message itself makes a root. Messages on a parent cycle have no root and appear in no path. Null role and text
-are empty. Repeated msg ids are the caller's to make unique. Extra columns of the input are ignored.
+are empty. Repeated msg ids are the caller's to make unique (linear_threads does, so repeated rows and equal turns are
+messages each). An empty table gives no conversation. Extra columns of the input are ignored.
 
 One conversation is one output row, so a conversation must fit in a row (2 GB); any number of them, of any
 skew, is spread by path.
@@ -57,47 +58,46 @@ def linear_threads(rows: DataFrame, thread: str = "conv_id", turn: str = "turn")
 
 
 def reply_paths(spark: SparkSession, messages: DataFrame, scratch: Scratch, branches: int | None = None) -> DataFrame:
-    """(path, root, msg, pos, path_rank): the messages of each chosen root-to-leaf path, pos from 0 at the root.
+    """(path, root, path_rank, msg, pos): the messages of each chosen root-to-leaf path, pos from 0 at the root.
 
     Paths of a root are ranked by mean score, highest first, ties to the smaller leaf; `branches` keeps that
-    many of each root; None keeps all, and leaves out root and path_rank. Round k joins the 2^k-step ancestor table with itself, so a tree of depth d
-    takes log2(d) self-joins on message ids, which are unique and so spread evenly.
+    many of each root, None all. Round k joins the 2^k-step ancestor table with itself, so a tree of depth d
+    takes log2(d) self-joins on message ids, which are unique and so spread evenly; the way back down walks the
+    same tables for chosen leaves alone. An empty table has no paths.
     """
     own = messages.select("msg", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
-    known = own.select(F.col("msg").alias("parent"), F.lit(True).alias("known"))
-    first = own.where("parent is not null and parent <> msg").join(known, "parent", "left")
-    up = first.where("known").select("msg", F.col("parent").alias("anc"))
-    steps = [scratch.save(own.join(up, "msg", "left").select("msg", "anc", F.col("score").alias("total"), F.lit(1).cast("long").alias("hops")), "up0")]
+    # a root meets itself there, so null parents aren't one hot key
+    known = own.select(F.col("msg").alias("_up"))
+    parent = F.when(F.col("_up").isNotNull() & (F.col("parent") != F.col("msg")), F.col("parent"))
+    first = own.join(known, F.coalesce("parent", "msg") == F.col("_up"), "left").select("msg", parent.alias("anc"), F.col("score").alias("total"))
+    # far: the last message met on the way up
+    steps = [scratch.save(first.select("msg", "anc", "total", F.lit(1).cast("long").alias("hops"), F.coalesce("anc", "msg").alias("far")), "up0")]
+    climbing = steps[0].where("anc is not null").count()
     for k in range(MAX_ROUNDS):
-        last = steps[-1]
-        if last.where("anc is not null").isEmpty():
+        if not climbing:
             break
-        far = last.select(F.col("msg").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"))
+        last = steps[-1]
+        up = last.select(F.col("msg").alias("anc"), F.col("anc").alias("anc2"), F.col("total").alias("total2"), F.col("hops").alias("hops2"), F.col("far").alias("far2"))
         # messages that have reached their root sit out the join
-        climbing = last.where("anc is not null").join(far, "anc").select("msg", F.col("anc2").alias("anc"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops"))
-        steps.append(scratch.save(climbing.unionByName(last.where("anc is null")), f"up{k + 1}"))
-        if k > 32 or (k >= 4 and k % 4 == 0):  # nothing reaches a root any more: what is left are cycles
-            n = steps[-1].where("anc is not null").count()
-            if n and n == last.where("anc is not null").count():
-                break
-    done = steps[-1].where("anc is null")
-    leaves = done.join(up.select(F.col("anc").alias("msg")).distinct(), "msg", "left_anti")
-    path = leaves.select(F.col("msg").alias("path"), F.col("msg"), F.lit(0).cast("long").alias("up"), "hops", (F.col("total") / F.col("hops")).alias("mean"))
-    members = path
-    for k in range(len(steps) - 2, -1, -1):
-        far = steps[k].where("anc is not null").select("msg", "anc")
-        members = members.unionByName(
-            members.join(far, "msg").select("path", F.col("anc").alias("msg"), (F.col("up") + (1 << k)).alias("up"), "hops", "mean")
-        )
-        if k % 4 == 0 or branches is None:
-            members = scratch.save(members, f"members{k}")
-    members = members.withColumn("pos", F.col("hops") - 1 - F.col("up"))
-    roots = members.where("pos = 0").select("path", F.col("msg").alias("root"), "mean")
+        higher = last.where("anc is not null").join(up, "anc").select("msg", F.col("anc2").alias("anc"), (F.col("total") + F.col("total2")).alias("total"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("far2").alias("far"))
+        steps.append(scratch.save(higher.unionByName(last.where("anc is null")), f"up{k + 1}"))
+        left = steps[-1].where("anc is not null").count()
+        if left == climbing:  # a tree has messages of all depths up to its own, so none reaching a root means that cycles are left
+            break
+        climbing = left
+    parents = steps[0].where("anc is not null").select(F.col("anc").alias("msg")).distinct()
+    leaves = steps[-1].where("anc is null").join(parents, "msg", "left_anti")
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("mean"), "path"))
-    if branches is None:
-        return members.select("path", "msg", "pos")
-    chosen = roots.withColumn("path_rank", rank).where(F.col("path_rank") <= branches).select("path", "root", "path_rank")
-    return members.join(chosen, "path").select("path", "root", "path_rank", "msg", "pos")
+    ranked = leaves.select(F.col("msg").alias("path"), F.col("far").alias("root"), "hops", (F.col("total") / F.col("hops")).alias("mean")).withColumn("path_rank", rank)
+    if branches is not None:
+        ranked = ranked.where(F.col("path_rank") <= branches)
+    members = scratch.save(ranked.select("path", "root", "path_rank", F.col("path").alias("msg"), (F.col("hops") - 1).alias("pos")), "paths")
+    for k in range(len(steps) - 2, -1, -1):
+        up = steps[k].where("anc is not null").select("msg", "anc")
+        # who has the 2^k-th message above
+        higher = members.where(F.col("pos") >= 1 << k).join(up, "msg").select("path", "root", "path_rank", F.col("anc").alias("msg"), (F.col("pos") - (1 << k)).alias("pos"))
+        members = scratch.save(members.unionByName(higher), f"members{k}")
+    return members
 
 
 def format_paths(paths: DataFrame, messages: DataFrame, assistant: str = "assistant") -> DataFrame:

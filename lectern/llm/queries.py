@@ -18,7 +18,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
     scratch = Scratch(spark, "chat")
     messages = scratch.save(chat.linear_threads(rows), "messages")
-    out = chat.format_paths(chat.reply_paths(spark, messages, scratch), messages)
+    out = chat.format_paths(chat.reply_paths(spark, messages, scratch, branches=1), messages)
     back = out.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("loss", chat.read_loss(F.col("formatted"), F.col("loss_spans")))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
@@ -32,8 +32,11 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    found, _ = secrets.run_ledger(spark, docs, None)
+    """Two ledger runs, as documents come in: English ones, then all others, whose copies of known blobs aren't scanned again."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text", F.col("lang").eqNullSafe("en").alias("early"))
+    path = secrets.update_ledger(spark, docs.where("early"), None)
+    secrets.update_ledger(spark, docs.where("not early"), path)
+    found = secrets.findings(docs, secrets.read_ledger(spark, path))
     base = [r.name for r in secrets.RULES]
     count = lambda name: F.size(F.filter("spans", lambda s: s["rule"] == name)).cast("long")
     joined = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["rule"], s["start"], s["stop"])), ",")
@@ -142,7 +145,7 @@ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d),
 f AS (SELECT doc_id, x, CAST(len(regexp_extract_all(x, {_W})) AS BIGINT) AS words, len(regexp_extract_all(x, '[#*$%&|<>»·•]')) AS marks,
   len(list_filter(regexp_split_to_array(x, '[\\s\\x0B]+'), lambda y: y IN ('|', '>', '»', '·', '•'))) AS bars FROM l WHERE regexp_matches(x, {_W})),
 j AS (SELECT *, (marks >= 3 AND marks * 4 >= words AND bars >= 3 AND bars * 4 >= words) OR len(regexp_extract_all(x, '[#*$%&|<>]')) * 3 >= words * 2
-  OR (words >= 4 AND upper(x) = x AND lower(x) <> x) OR (words <= 25 AND regexp_matches(x, '(?i)({quality.BOILERPLATE})'))
+  OR (words >= 4 AND upper(x) = x AND lower(x) <> x) OR (words <= 25 AND regexp_matches(lower(x), '{quality.BOILERPLATE}'))
   OR (words <= 3 AND NOT regexp_matches(x, '[.!?…:;"''”’»)\\]。！？]\\s*$')) AS bad FROM f),
 k AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, CAST(coalesce(sum(words) FILTER (bad), 0) AS BIGINT) AS lost FROM j GROUP BY 1),
 a AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

@@ -3,7 +3,9 @@
 Every version of every path is a blob, addressed by the SHA-256 of its text (null: empty). The ledger is a
 table of (blob, rule, version, spans): a run scans only blob and rule-version pairs it lacks, appends them,
 and joins findings back to all paths. Copies, however many, are scanned once; a hot blob is one row there.
-Rows with null paths and repeated rows get their blob's findings like any other. Extra columns are ignored.
+Rows with null paths and repeated rows get their blob's findings like any other. An empty table adds nothing. A text
+is scanned whole, one at a time, so the longest bounds memory. Columns besides path and text are ignored.
+Pairs that are in the ledger twice, as after two runs at a time, count once.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, lean, text_of
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ def _scanner(rules: tuple[Rule, ...]):
             columns = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), kind), strict=True)], names=["blob", "rule", "version", "spans"])
 
-    return scan
+    return lean(scan)
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -95,23 +97,34 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
     """(path, blob, spans) for every version; spans: array<struct<start, rank, stop, rule>> by start, then rule as listed."""
     rank = F.coalesce(*[F.when((F.col("rule") == r.name) & (F.col("version") == r.version), F.lit(k)) for k, r in enumerate(rules)])
     hits = ledger.where(F.size("spans") > 0).withColumn("rank", rank).where("rank is not null")
+    hits = hits.groupBy("blob", "rule", "rank").agg(F.first("spans").alias("spans"))
     one = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), s["stop"].alias("stop"), F.col("rule").alias("rule")))
     by_blob = hits.groupBy("blob").agg(F.sort_array(F.flatten(F.collect_list(one))).alias("spans"))
     empty = F.array().cast("array<struct<start:int,rank:int,stop:int,rule:string>>")
     return versions.select("path", blob_of(text_of()).alias("blob")).join(by_blob, "blob", "left").withColumn("spans", F.coalesce("spans", empty))
 
 
-def run_ledger(spark: SparkSession, versions: DataFrame, path: str | None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
-    """Scan what the ledger at `path` lacks (a new one in the shared folder if None), append, and return findings and the path."""
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def update_ledger(spark: SparkSession, versions: DataFrame, path: str | None, rules: tuple[Rule, ...] = RULES) -> str:
+    """Scans what the ledger at `path` lacks (a new one in the shared folder if None), appends it, and returns the path."""
     ledger = None
     if path is None:
         path = Scratch(spark, "blob-ledger").path("ledger")
     else:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            ledger = spark.read.schema(LEDGER).parquet(path)
+            ledger = read_ledger(spark, path)
     scan_unseen(versions, ledger, rules).write.mode("append").parquet(path)
-    return findings(versions, spark.read.schema(LEDGER).parquet(path), rules), path
+    return path
+
+
+def run_ledger(spark: SparkSession, versions: DataFrame, path: str | None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, str]:
+    """update_ledger, and findings for the versions."""
+    path = update_ledger(spark, versions, path, rules)
+    return findings(versions, read_ledger(spark, path), rules), path
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
