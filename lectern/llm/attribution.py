@@ -1,10 +1,13 @@
 """Token counts by field and section, from one encoding of the whole document.
 
 A document is rendered as field texts joined by newlines; sections are its lines, and a field is the lines it
-spans. Byte-level ids cover the text's bytes exactly, so id lengths give every token's span without offsets
-objects. Tokens and sections, both sorted, are joined as intervals. The rule for a token over a boundary: it
-counts for the section that holds most of its bytes, ties to the earlier; a token of line ends only counts for
-the section before it. Null fields are empty. Rows are independent; repeated rows and ids stay.
+spans. Byte-level ids cover the text's bytes exactly, so id lengths give every token's span of characters (all
+those it has a byte of) without offset objects; other tokenizers are refused. Tokens and sections, both sorted, are
+joined as intervals. The rule for a token over a boundary: it counts for the section that holds most of its
+characters, ties to the earlier; a token of line ends only counts for the section before it. Null fields are empty;
+a document always has a section. Rows are independent, so repeated rows, equal and null ids stay rows each, and an
+empty table gives none. A text is encoded whole, so the longest bounds memory. Columns besides doc_id and the fields
+are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.decoders import ByteLevel
 
+from .common import lean
 from .encoding import Encoder, sliced
 
 RESULT = "doc_id long, n_tokens long, n_sections long, n_crossing long, field_tokens array<long>, section_tokens array<long>"
@@ -25,6 +30,8 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_secti
 def id_bytes(encoder: Encoder) -> np.ndarray:
     """Bytes of each id: in a byte-level vocabulary every character stands for one byte."""
     if not hasattr(encoder, "id_bytes"):
+        if not isinstance(encoder.tok.decoder, ByteLevel):
+            raise ValueError("token spans need a byte-level tokenizer")
         vocab = encoder.tok.get_vocab()
         sizes = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for token, i in vocab.items():
@@ -33,13 +40,12 @@ def id_bytes(encoder: Encoder) -> np.ndarray:
     return encoder.id_bytes
 
 
-def attribute(ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, int]:
-    """Tokens of each section and crossing tokens. ends: byte ends of tokens; stops: byte ends of sections, without their line ends."""
+def attribute(begins: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, int]:
+    """Tokens of each section and crossing tokens. begins, ends: tokens' characters; stops: ends of sections, without their line ends."""
     if not len(ends):
         return np.zeros(len(stops), dtype=np.int64), 0
-    begins = np.concatenate([[0], ends[:-1]])
     first = np.concatenate([[0], stops[:-1] + 1])  # section starts
-    # the section that a token's first byte lies in, its line end included
+    # the section that a token's first character lies in, its line end included
     low = np.searchsorted(first, begins, side="right") - 1
     high = np.searchsorted(first, ends - 1, side="right") - 1
     home, crossing = low.copy(), 0
@@ -62,15 +68,17 @@ def _count(path: str, fields: list[str]):
             rows, at = [], 0
             for i, (doc_id, text) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("rendered").to_pylist(), strict=True)):
                 data = np.frombuffer(text.encode(), np.uint8)
-                stops = np.concatenate([np.flatnonzero(data == 10), [len(data)]])
-                tokens, crossing = attribute(upto[at + 1 : ends[i] + 1] - upto[at], stops)
+                chars = np.cumsum((data & 0xC0) != 0x80)  # characters begun up to a byte
+                edges = upto[at : ends[i] + 1] - upto[at]
+                stops = np.append(chars[data == 10] - 1, len(text))
+                tokens, crossing = attribute(chars[edges[:-1]] - 1, chars[edges[1:] - 1], stops)
                 cuts = np.concatenate([[0], np.cumsum(lines[i])])
                 by_field = [int(tokens[x:y].sum()) for x, y in zip(cuts, cuts[1:], strict=False)]
                 rows.append((doc_id, int(ends[i]) - at, len(stops), crossing, by_field, tokens))
                 at = int(ends[i])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _RESULT.types, strict=True)], schema=_RESULT)
 
-    return count
+    return lean(count)
 
 
 def token_counts(docs: DataFrame, path: str, fields: list[str]) -> DataFrame:

@@ -44,11 +44,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(id, source, size, quality): words, and the labelled quality as a weight (good 2, bad 0.5, unknown 1)."""
+    """(id, source, size, quality) and a row number if there is one: words, and the labelled quality as a weight (good 2, bad 0.5, unknown 1)."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q")).withColumnRenamed("doc_id", "_id")
-    own = docs.select(F.col("doc_id").alias("id"), "source", n_words(text_of()).alias("size"))
+    number = [c for c in docs.columns if c == "_row"]
+    own = docs.select(F.col("doc_id").alias("id"), "source", n_words(text_of()).alias("size"), *number)
     weight = F.when(F.col("q") == 1, 2.0).when(F.col("q") == 0, 0.5).otherwise(1.0)
-    return own.join(labels, F.col("id") == F.col("_id"), "left").select("id", "source", "size", weight.alias("quality"))
+    return own.join(labels, F.col("id") == F.col("_id"), "left").select("id", "source", "size", weight.alias("quality"), *number)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ chunk row carries the SHA-1 of the payload so far and the payload's place, so th
 and read a chunk at a time and no task holds a whole record beside the input row. Of equal payloads the one
 with the largest id is written as a response, others as revisits (header only, RFC-style profile) that refer to it.
 Null payloads are empty; null urls are left out. Every record has a number of its own (`record`, also in its
-WARC-Record-ID), so null ids, repeated rows and equal ids with different payloads stay distinct records. Responses
-are written first, as a revisit names the record that it refers to.
+WARC-Record-ID), so null ids, repeated rows and equal ids with different payloads stay distinct records. Rows equal
+in id and payload are all responses if theirs is the largest id: none of them is an earlier visit. A null id is less
+than any other. Responses are written first, as a revisit names the record that it refers to. An empty table gives an
+empty archive. Columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, lean, text_of
 
 CHUNK = 64 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -135,13 +137,14 @@ def archive(pages: DataFrame, scratch: Scratch) -> DataFrame:
     html = text_of("html")
     own = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha"))
     best = pages.select("page_id", F.sha1(html).alias("_sha")).groupBy("_sha").agg(F.max("page_id").alias("best"))
-    met = own.join(best.hint("shuffle_hash"), F.col("sha") == F.col("_sha")).where(F.col("page_id").eqNullSafe(F.col("best")))
-    responses = scratch.save(met.select("page_id", "url", "html").mapInArrow(_responses, TABLE), "responses", "zstd")
+    # on digest and id, so that a payload with many copies doesn't bring them all to one task
+    met = own.join(best.hint("shuffle_hash"), (F.col("sha") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("best")))
+    responses = scratch.save(met.select("page_id", "url", "html").mapInArrow(lean(_responses), TABLE), "responses", "zstd")
     # of a digest all responses with an id have the largest one
     named = responses.where("chunk_no = 0 and page_id is not null").groupBy(F.col("payload_sha1").alias("_sha")).agg(F.max("page_id").alias("best"), F.min("record").alias("target"))
     sized = pages.select("page_id", "url", F.sha1(html).alias("sha"), F.octet_length(html).cast("long").alias("size"))
     again = sized.join(named.hint("shuffle_hash"), F.col("sha") == F.col("_sha")).where(~F.col("page_id").eqNullSafe(F.col("best")))
-    revisits = scratch.save(again.select("page_id", "url", "sha", "size", "best", "target").mapInArrow(_revisits, TABLE), "revisits", "zstd")
+    revisits = scratch.save(again.select("page_id", "url", "sha", "size", "best", "target").mapInArrow(lean(_revisits), TABLE), "revisits", "zstd")
     return responses.unionByName(revisits)
 
 
@@ -194,6 +197,6 @@ def read_archive(table: DataFrame) -> DataFrame:
 
     Records of one chunk are parsed where they lie; only the chunks of longer ones are brought together.
     """
-    single = table.where("last and chunk_no = 0").select("data", "last").mapInArrow(_read, RECORDS)
+    single = table.where("last and chunk_no = 0").select("data", "last").mapInArrow(lean(_read), RECORDS)
     more = table.where("not last or chunk_no > 0").repartition("record").sortWithinPartitions("record", "chunk_no")
-    return single.unionByName(more.select("data", "last").mapInArrow(_read, RECORDS))
+    return single.unionByName(more.select("data", "last").mapInArrow(lean(_read), RECORDS))
