@@ -20,18 +20,26 @@ def _documents(df: DataFrame, text) -> DataFrame:
     return df.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, Scratch]:
+    """docs with a row number, written, so that rows with equal or null ids are told apart."""
+    scratch = Scratch(spark, name)
+    return scratch.save(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered"), scratch
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, then documents that the quality rules reject."""
+    """Failing lines go, then documents that the quality rules reject.
+
+    Null and empty texts are rejected. Every row is judged by itself, so repeated rows share a verdict, not a row.
+    """
     return _documents(quality.keep_clean(docs.select(*COLUMNS)), F.col("text"))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) one row stays: that with the smallest id, null ids last.
 
-    Rows are numbered and written first, so that repeated and null ids are rows like any other.
+    Rows without words have no copies and stay. Of equal ids in a group, repeated rows included, one row stays.
     """
-    scratch = Scratch(spark, "near-copies")
-    docs = scratch.save(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    docs, scratch = _numbered(spark, docs, "near-copies")
     classes = jaccard.jaccard_components(spark, docs.select(F.col("_row").alias("doc_id"), "text"), scratch, words=5, percent=80)
     named = docs.select("_row", "doc_id").join(classes.select(F.col("doc_id").alias("_row"), "component_id").hint("shuffle_hash"), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
@@ -40,7 +48,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; every row stays. Null texts become empty."""
     versions = docs.select(F.col("doc_id").alias("path"), "text")
     found, _ = secrets.run_ledger(spark, versions, None)
     hit = found.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans").groupBy("_blob").agg(F.first("spans").alias("spans"))
@@ -49,15 +57,20 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    own = Scratch(spark, "mix").save(queries.sized(spark, docs, sf_dir), "sized")
-    takes = mixing.mix(own).groupBy("id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    met = docs.select(*COLUMNS).join(takes.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id")))
+    """Each row as often as the mix takes it.
+
+    Rows with equal ids are drawn each for itself. Texts without words add nothing to a target; they are repeated with
+    the whole epochs of their source.
+    """
+    docs, scratch = _numbered(spark, docs, "mix")
+    own = scratch.save(queries.sized(spark, docs, sf_dir), "sized")
+    takes = mixing.mix(own).where("copies > 0").select(F.col("_row").alias("_of"), "copies")
+    met = docs.join(takes.hint("shuffle_hash"), F.col("_row") == F.col("_of"))
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences; a null text is its end id alone, and every copy of a row is packed."""
     return packing.pack(spark, docs, Scratch(spark, "pack"), tokenizer_path(queries.WORD_BPE))
 
 
