@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than space, tab, LF, VT, FF, CR.
@@ -77,3 +77,18 @@ def n_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sums_before(rows: DataFrame, key: str, value: str, name: str, *by: str, block: int = 4096) -> DataFrame:
+    """rows with the sum of value over smaller keys (whole numbers, one row each within by; no nulls in by but equal ones).
+
+    In two steps, so that no task sorts all keys: over blocks of keys, then inside a block.
+    """
+    rows = rows.withColumn("_block", F.floor(F.col(key) / block))
+    before = lambda order, *parts: Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_block", *by).agg(F.sum(value).alias("_sum"))
+    blocks = blocks.select("_block", *by, F.coalesce(F.sum("_sum").over(before("_block", *by)), F.lit(0)).alias("_base"))
+    blocks = blocks.select(*[F.col(c).alias(f"_of{c}") for c in ("_block", *by)], "_base")
+    met = rows.join(blocks, [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in ("_block", *by)])
+    inside = F.coalesce(F.sum(value).over(before(key, "_block", *by)), F.lit(0))
+    return met.withColumn(name, F.col("_base") + inside).drop("_base", "_block", *[f"_of{c}" for c in ("_block", *by)])

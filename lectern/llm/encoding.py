@@ -23,7 +23,9 @@ CUT = "\x01"
 _WS = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNSAFE = rf"\x01|{_WS}[ \n]|\n{_WS}"
 #: Characters of text encoded at once, and distinct chunks remembered from batch to batch: both bound memory.
-PART_CHARS, MEMO = 24_000_000, 600_000
+PART_CHARS, MEMO = 12_000_000, 500_000
+#: Chunks with a space before them that the library gets as one text: the space keeps them apart as in any text.
+JOIN = 128
 
 
 def tokenizer_path(name: str) -> str:
@@ -42,8 +44,9 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        # chunk number k has ids[begins[k]:begins[k + 1]]
-        self.memo: dict[str, int] = {}
+        self.vocabulary = max(self.tok.get_vocab().values()) + 1
+        # chunk number k has ids[begins[k]:begins[k + 1]]; the first len(memo) are remembered
+        self.memo = pa.array([], pa.large_string())
         self.ids, self.begins = array("I"), array("q", [0])
 
     @classmethod
@@ -53,21 +56,35 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _chunks(self, chunks: list[str]) -> np.ndarray:
+    def _chunks(self, chunks: pa.Array) -> np.ndarray:
         """Places of distinct chunks in the store; those that aren't remembered are only there until the next call."""
-        memo, known = self.memo, len(self.memo)
+        known = len(self.memo)
         del self.begins[known + 1 :], self.ids[self.begins[known] :]
-        at = [memo.get(c, -1) for c in chunks]
-        new = [i for i, k in enumerate(at) if k < 0]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for i, enc in zip(part, self.tok.encode_batch([chunks[i] for i in part], add_special_tokens=False), strict=True):
-                at[i] = len(self.begins) - 1
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.memo), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        added = chunks.take(pa.array(new))
+        apart = pc.and_not(pc.starts_with(added, " "), pc.match_substring_regex(added, _WS + "$")).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)])
+        added, joined = added.take(pa.array(order)), int(apart.sum())
+        at[new[order]] = np.arange(known, known + len(order))
+
+        sizes = pc.utf8_length(added).to_numpy(zero_copy_only=False)
+        cuts, spaced = np.append(np.arange(0, joined, JOIN), joined), added.slice(0, joined).cast(pa.string())
+        for k in range(0, len(cuts) - 1, 100):
+            own = cuts[k : k + 101]
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(own, pa.int32()), spaced), "")
+            for x, y, enc in zip(own.tolist(), own[1:].tolist(), self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False), strict=False):
+                starts = np.fromiter([p for p, _ in enc.offsets], np.int64, len(enc))
+                stops = np.searchsorted(starts, np.cumsum(sizes[x:y])) + len(self.ids)
+                self.ids.extend(enc.ids)
+                self.begins.extend(stops.tolist())
+        for k in range(joined, len(added), 20_000):
+            for enc in self.tok.encode_batch(added.slice(k, 20_000).to_pylist(), add_special_tokens=False):
                 self.ids.extend(enc.ids)
                 self.begins.append(len(self.ids))
-                if len(memo) < MEMO:
-                    memo[chunks[i]] = at[i]
-        return np.array(at, dtype=np.int64)
+        if known < MEMO:
+            self.memo = pa.concat_arrays([self.memo, added.slice(0, MEMO - known)])
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -81,7 +98,7 @@ class Encoder:
         first = lists.offsets.to_numpy()
         coded = lists.flatten().dictionary_encode()
         which = coded.indices.to_numpy(zero_copy_only=False)
-        which = self._chunks(coded.dictionary.to_pylist())[which]
+        which = self._chunks(coded.dictionary)[which]
         begins = np.array(self.begins, dtype=np.int64)
         n = np.diff(begins)[which]
         upto = np.concatenate([[0], np.cumsum(n)])
