@@ -7,11 +7,13 @@ gives every source its share of WINDOW ids as credit; the source with the larges
 (up to QUANTUM ids or its credit, if that is more), until the window is full; credit over or under is carried
 to the next window. Lanes carry it on as well: a lane packs all it holds, so the credit that it leaves behind
 is share x its ids less its ids of the source, and what a lane starts with is the sum of that over the lanes
-before it, known from counts alone. What a lane has beyond full windows goes to windows of powers of two, so
-nothing is padded. Shares are those of all ids unless given. Given ones hold in all lanes up to the one in which
+before it, known from counts alone. LANES lanes in a row are packed in turn: what one has beyond full windows goes on
+to the next with its credit, and the last ends with windows of powers of two, so nothing is padded. Shares are those of all ids unless given. Given ones hold in all lanes up to the one in which
 a favoured source ends; the others share what follows, and sources without a share come last.
 
-Null text is the empty text (the end id alone); null sources are a source; equal ids stay separate documents.
+Null text is the empty text (the end id alone); null sources are a source; equal ids stay separate documents; an
+empty table gives no pieces. A text is encoded whole, so the longest bounds memory with the lane that holds it.
+Columns besides doc_id, text and source are ignored. Ids are kept in 16 bits; larger vocabularies are refused.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, lean, sums_before, text_of
 from .encoding import Encoder, sliced
 from .token_store import with_end
 
-END, WINDOW, QUANTUM, RUN, LANE_TOKENS = 1, 2048, 512, 2048, 500_000
+END, WINDOW, QUANTUM, RUN, LANE_TOKENS, LANES = 1, 2048, 512, 2048, 500_000, 4
 #: Documents of one source that are dealt together; within: ids of the source before it in its task (part).
 RUNS = "part int, source string, within long, n long, doc_ids array<long>, lengths array<int>, ids binary"
 _RUNS = pa.schema([("part", pa.int32()), ("source", pa.string()), ("within", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("ids", pa.binary())])
@@ -41,6 +44,8 @@ def _encoder(path: str):
         from pyspark import TaskContext
 
         part, encoder, sent = TaskContext.get().partitionId(), Encoder.of(path), {}
+        if encoder.vocabulary > 1 << 16:
+            raise ValueError("ids need more than 16 bits")
         for b in sliced(batches, "text", 12_000_000):
             flat, ends = with_end(*encoder.encode(b.column("text")), END)
             coded = b.column("source").dictionary_encode()
@@ -51,7 +56,7 @@ def _encoder(path: str):
             upto = np.concatenate([[0], np.cumsum(sizes)])
             place = np.repeat((ends[order] - upto[1:]).astype(np.int32), sizes)
             place += np.arange(upto[-1], dtype=np.int32)
-            data = flat.astype("<u2")[place]  # ids of the vocabulary fit in 16 bits
+            data = flat.astype("<u2")[place]
             own = np.bincount(codes, sizes, len(names)).astype(np.int64)
             within = upto[:-1] + (np.array([sent.get(s, 0) for s in names]) - (np.cumsum(own) - own))[codes]
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(codes) != 0) | (np.diff(within // RUN) != 0)) + 1, [len(codes)]])
@@ -63,7 +68,7 @@ def _encoder(path: str):
             columns.append(pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bytes_), pa.py_buffer(data)]))
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _RUNS.types, strict=True)], schema=_RUNS)
 
-    return encode
+    return lean(encode)
 
 
 def windows_of(total: int) -> list[int]:
@@ -72,14 +77,14 @@ def windows_of(total: int) -> list[int]:
     return [WINDOW] * (total // WINDOW) + [1 << k for k in range(WINDOW.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def round_robin(lengths: list[int], sources: list, credit: dict, share: dict) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, start, length, window, offset) pieces of one lane."""
+def round_robin(lengths: list[int], sources: list, credit: dict, share: dict, windows: list[int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(document, start, length, window, offset) pieces that fill the windows of one lane."""
     queues: dict = {}
     for i, s in enumerate(sources):
         queues.setdefault(s, deque()).append(i)
     credit = {s: credit.get(s, 0.0) for s in queues}
     at = dict.fromkeys(queues, 0)
-    for w, room in enumerate(windows_of(sum(lengths))):
+    for w, room in enumerate(windows):
         offset = 0
         for s in credit:
             credit[s] += share.get(s, 0.0) * room
@@ -98,32 +103,69 @@ def round_robin(lengths: list[int], sources: list, credit: dict, share: dict) ->
                     del credit[s]
 
 
-def _packed(lane: list[dict]) -> pa.RecordBatch:
-    """Pieces of a lane: its plan, then its runs."""
-    head, runs = lane[0], lane[1:]
-    data = memoryview(np.frombuffer(b"".join(r["ids"] for r in runs), "<u2").astype("<u4")).cast("B")
-    doc_ids, n = ([x for r in runs for x in r[c]] for c in ("doc_ids", "lengths"))
-    sources = [r["source"] for r in runs for _ in r["doc_ids"]]
-    begins = np.concatenate([[0], np.cumsum(n)]).tolist()
-    plan = {p["source"]: p for p in head["plan"]}
-    pieces = list(round_robin(n, sources, {s: p["credit"] for s, p in plan.items()}, {s: p["share"] for s, p in plan.items()}))
+@dataclass
+class Document:
+    """What is left of a document: its ids from start on."""
+
+    doc_id: int | None
+    source: str | None
+    tokens: int
+    start: int
+    ids: memoryview
+
+
+def _documents(runs: list[dict]) -> Iterator[Document]:
+    for r in runs:
+        data, at = memoryview(np.frombuffer(r["ids"], "<u2").astype("<u4")).cast("B"), 0
+        for doc_id, n in zip(r["doc_ids"], r["lengths"], strict=True):
+            yield Document(doc_id, r["source"], n, 0, data[4 * at : 4 * (at + n)])
+            at += n
+
+
+def _packed(head: dict, docs: list[Document], carried: int, first: int, last: bool) -> tuple[list[pa.RecordBatch], list[Document], int]:
+    """Pieces of a lane with windows from `first` on, what is left for the next lane, and its first window.
+
+    The first `carried` documents come from the lane before.
+    """
+    lengths = [len(d.ids) // 4 for d in docs]
+    share = {p["source"]: p["share"] for p in head["plan"]}
+    credit = {p["source"]: p["credit"] for p in head["plan"]}
+    late = sum(lengths[:carried])
+    for d, n in zip(docs[:carried], lengths, strict=False):
+        credit[d.source] = credit.get(d.source, 0.0) + n
+    credit = {s: c - share.get(s, 0.0) * late for s, c in credit.items()}
+    total = sum(lengths)
+    windows = windows_of(total) if last else [WINDOW] * (total // WINDOW)
+    pieces = list(round_robin(lengths, [d.source for d in docs], credit, share, windows))
+    sent = [0] * len(docs)
+    for i, start, n, *_ in pieces:
+        sent[i] = start + n
+    left = [Document(d.doc_id, d.source, d.tokens, d.start + k, memoryview(bytes(d.ids[4 * k :]))) for d, k, n in zip(docs, sent, lengths, strict=True) if k < n]
+    if not pieces:
+        return [], left, first
     doc, start, size, window, offset = zip(*pieces, strict=True)
-    crc = [zlib.crc32(data[4 * (begins[i] + s) : 4 * (begins[i] + s + k)]) for i, s, k in zip(doc, start, size, strict=True)]
-    columns = [pa.array([doc_ids[i] for i in doc], pa.int64()), pa.array([sources[i] for i in doc], pa.string())]
-    columns += [pa.array(x, pa.int64()) for x in (start, size, crc, [n[i] for i in doc], np.array(window) + head["first"], offset)]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    crc = [zlib.crc32(docs[i].ids[4 * s : 4 * (s + k)]) for i, s, k in zip(doc, start, size, strict=True)]
+    columns = [pa.array([docs[i].doc_id for i in doc], pa.int64()), pa.array([docs[i].source for i in doc], pa.string())]
+    columns += [pa.array(x, pa.int64()) for x in ([docs[i].start + s for i, s in zip(doc, start, strict=True)], size, crc, [docs[i].tokens for i in doc], np.array(window) + first, offset)]
+    return [pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])], left, first + len(windows)
 
 
 def _pack(batches):
-    held: list[dict] = []
+    """Lanes in order: each one's plan, then its runs. A group of lanes lies in one task."""
+    head, runs, left, first = None, [], [], 0
     for b in batches:
         for row in b.to_pylist():
-            if held and row["lane"] != held[0]["lane"]:
-                yield _packed(held)
-                held = []
-            held.append(row)
-    if held:
-        yield _packed(held)
+            if row["plan"] is None:
+                runs.append(row)
+                continue
+            if head is not None:
+                out, left, first = _packed(head, [*left, *_documents(runs)], len(left), first, row["team"] != head["team"])
+                yield from out
+            if head is None or row["team"] != head["team"]:
+                first = row["first"]
+            head, runs = row, []
+    if head is not None:
+        yield from _packed(head, [*left, *_documents(runs)], len(left), first, True)[0]
 
 
 def _sent_before(totals: DataFrame, shares: dict | None) -> Column:
@@ -170,18 +212,19 @@ def pack(spark: SparkSession, docs: DataFrame, scratch: Scratch, path: str, shar
         sum_ = float(sum(shares.values())) or 1.0
         given = F.coalesce(*[F.when(F.col("source").eqNullSafe(s), F.lit(v / sum_)) for s, v in shares.items()], F.lit(0.0))
         total = total.withColumn("share", given)
-    # a lane's ids, and each source's credit before it: over lanes, of which there is one for LANE_TOKENS ids
-    sizes = own.groupBy("lane").agg(F.sum("n").alias("size"))
-    rest = F.col("size") % WINDOW
-    sizes = sizes.withColumn("first", F.coalesce(F.sum(F.floor(F.col("size") / WINDOW) + F.bit_count(rest)).over(before("lane")), F.lit(0)))
-    sizes = sizes.withColumn("so_far", F.coalesce(F.sum("size").over(before("lane")), F.lit(0)))
-    own = own.withColumn("sent", F.coalesce(F.sum("n").over(before("lane", "source")), F.lit(0)))
+    # a lane's ids, and each source's credit before it; a team of lanes knows its windows from its ids
+    sizes = scratch.save(own.groupBy("lane").agg(F.sum("n").alias("size")).withColumn("team", F.floor(F.col("lane") / LANES)), "sizes")
+    teams = sizes.groupBy("team").agg(F.sum("size").alias("ids"))
+    teams = sums_before(teams.withColumn("windows", F.floor(F.col("ids") / WINDOW) + F.bit_count(F.col("ids") % WINDOW)), "team", "windows", "first")
+    sizes = sums_before(sizes, "lane", "size", "so_far").join(teams.select("team", "first"), "team")
+    own = sums_before(own, "lane", "n", "sent", "source")
     named = total.select(F.col("source").alias("_source"), "share")
     plan = own.join(named, F.col("source").eqNullSafe(F.col("_source"))).join(sizes, "lane")
     entry = F.struct("source", "share", (F.col("share") * F.col("so_far") - F.col("sent")).alias("credit"))
     plan = plan.groupBy("lane").agg(F.collect_list(entry).alias("plan"), F.first("first").alias("first"))
-    # a lane's plan comes before its runs; dealt by repartition, as a join's partitions may be cut inside a lane
+    # a lane's plan comes before its runs; dealt by repartition, as a join's partitions may be cut inside a team
     both = placed.select("lane", "part", "within", "source", "doc_ids", "lengths", "ids").unionByName(plan.withColumn("part", F.lit(-1)), allowMissingColumns=True)
+    both = both.withColumn("team", F.floor(F.col("lane") / LANES))
     ids = starts.agg(F.max("total")).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, ids // (8 * LANE_TOKENS))  # about eight lanes a task, whatever the input's size
-    return both.repartition(parts, "lane").sortWithinPartitions("lane", "part", "within").mapInArrow(_pack, PIECES)
+    parts = max(spark.sparkContext.defaultParallelism, ids // (2 * LANES * LANE_TOKENS))  # about two teams a task, whatever the input's size
+    return both.repartition(parts, "team").sortWithinPartitions("lane", "part", "within").mapInArrow(lean(_pack), PIECES)
