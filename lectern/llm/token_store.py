@@ -11,6 +11,8 @@ it, so one document decodes without the rest. File layout, little-endian:
 
 Files are values of a Parquet table in the shared folder, one row a shard, so any store that Spark writes will do.
 Null text is the empty text (the end id alone). Null ids come first; repeated ids stay, in the order of their texts.
+An empty table gives no shards. A text is encoded whole and its shard holds it whole, so the longest bounds memory.
+Columns besides doc_id and text are ignored. Symbols have 24 bits; a vocabulary and rules beyond that are refused.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, lean, text_of
 from .encoding import Encoder, sliced
 
 END = 0
@@ -40,25 +42,33 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int) -> bytes:
     stop = np.zeros(len(seq), dtype=bool)
     stop[ends - 1] = True
     left, right, size = [np.empty(0, np.uint32)] * 3
+    recent = 0  # after a round that took all frequent pairs, only pairs with one of its symbols can be frequent
     while len(seq) >= 2:
         a, b = seq[:-1], seq[1:]
-        slot = ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-        open_ = ~stop[:-1]
-        counts = np.bincount(slot[open_], minlength=1 << HASH_BITS)
+        held = ~stop[:-1]
+        if recent:
+            at = np.flatnonzero(held & ((a >= recent) | (b >= recent)))
+            a, b, held = a[at], b[at], slice(None)
+        pairs = (a.astype(np.uint64) << np.uint64(32)) | b
+        slot = ((pairs ^ (pairs >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
+        counts = np.bincount(slot[held], minlength=1 << HASH_BITS)
         some = np.flatnonzero(counts >= MIN_COUNT)
         if not len(some):
             break
-        if len(some) > PAIRS:
+        cut = len(some) > PAIRS
+        if cut:
             some = some[np.argpartition(counts[some], len(some) - PAIRS)[-PAIRS:]]
         chosen = np.zeros(1 << HASH_BITS, dtype=bool)
         chosen[some] = True
-        at = np.flatnonzero(chosen[slot] & open_)
-        pairs, inverse, n = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_inverse=True, return_counts=True)
+        taken = np.flatnonzero(chosen[slot] if recent else chosen[slot] & held)
+        at = at[taken] if recent else taken
+        pairs, inverse, n = np.unique(pairs[taken], return_inverse=True, return_counts=True)
         rule = np.full(len(pairs), -1, dtype=np.int64)
         good = np.flatnonzero(n >= MIN_COUNT)
         if not len(good):
             break
         new = first_free + len(left)
+        recent = 0 if cut else new
         rule[good] = new + np.arange(len(good))
         symbol = rule[inverse]
         at, symbol = at[symbol >= 0], symbol[symbol >= 0]
@@ -77,6 +87,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int) -> bytes:
         keep = np.ones(len(seq), dtype=bool)
         keep[at + 1] = False
         seq, stop = seq[keep], stop[keep]
+    if first_free + len(left) > 1 << 24:
+        raise ValueError("symbols need more than 24 bits")
     begins = np.concatenate([[0], np.flatnonzero(stop) + 1]).astype("<u8")
     head = struct.pack("<4sIIIQ", b"RPR1", first_free, len(left), len(ends), len(seq))
     return b"".join([head, left.astype("<u4").tobytes(), right.astype("<u4").tobytes(), size.astype("<u4").tobytes(), begins.tobytes(), (seq & 0xFFFF).astype("<u2").tobytes(), (seq >> 16).astype("u1").tobytes()])
@@ -96,35 +108,27 @@ class ShardFile:
         self.begins, at = take("<u8", docs + 1).astype(np.int64), at + 8 * (docs + 1)
         low, at = take("<u2", symbols), at + 2 * symbols
         self.seq = low.astype(np.uint32) | take("u1", symbols).astype(np.uint32) << 16
-        # expansions of all rules; a rule's parts are older than itself
-        self.at = np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)])
+        # expansions of all symbols; a rule's parts are older than itself
+        self.n = np.concatenate([np.ones(self.first, np.int64), self.size])
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
         self.full = np.empty(self.at[-1], dtype=np.uint32)
-        for k in range(n):
-            i = self.at[k]
-            for part in (self.left[k], self.right[k]):
-                own = self.full[self.at[part - self.first] : self.at[part - self.first + 1]] if part >= self.first else np.array([part], np.uint32)
-                self.full[i : i + len(own)] = own
-                i += len(own)
+        self.full[: self.first] = np.arange(self.first)
+        for k, (x, y) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True), self.first):
+            i, m = self.at[k], self.at[k] + self.n[x]
+            self.full[i:m] = self.full[self.at[x] : self.at[x + 1]]
+            self.full[m : self.at[k + 1]] = self.full[self.at[y] : self.at[y + 1]]
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        rule = seq >= self.first
-        k = np.where(rule, seq.astype(np.int64) - self.first, 0)
-        n = np.where(rule, self.size[k] if len(self.size) else 1, 1).astype(np.int64)
+        n = self.n[seq]
         upto = np.cumsum(n)
-        out = np.repeat(seq, n)
-        inside = np.repeat(rule, n)
-        where = np.repeat((self.at[k] if len(self.size) else 0) - (upto - n), n) + np.arange(len(out))
-        out[inside] = self.full[where[inside]]
-        return out
+        return self.full[np.repeat(self.at[seq] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.seq[self.begins[i] : self.begins[i + 1]])
 
     def lengths(self) -> np.ndarray:
         """Ids of each document, from expansion lengths alone."""
-        rule = self.seq >= self.first
-        n = np.where(rule, self.size[np.where(rule, self.seq.astype(np.int64) - self.first, 0)] if len(self.size) else 1, 1)
-        return np.diff(np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[self.begins])
+        return np.diff(np.concatenate([[0], np.cumsum(self.n[self.seq])])[self.begins])
 
 
 def with_end(ids: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +141,7 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, n
     return out, new
 
 
-def _writer(path: str, first_free: int):
+def _writer(path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -146,7 +150,7 @@ def _writer(path: str, first_free: int):
 
         def flush():
             flat, ends = np.concatenate(ids), np.cumsum(np.concatenate(sizes))
-            row = [part], [shard], [docs], [np.diff(ends, prepend=0).tolist()], [len(flat)], [compress(flat, ends, first_free)]
+            row = [part], [shard], [docs], [np.diff(ends, prepend=0).tolist()], [len(flat)], [compress(flat, ends, encoder.vocabulary)]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _SHARDS.types, strict=True)], schema=_SHARDS)
 
         for b in sliced(batches, "text", 12_000_000):
@@ -161,13 +165,13 @@ def _writer(path: str, first_free: int):
         if docs:
             yield flush()
 
-    return write
+    return lean(write)
 
 
-def write_shards(docs: DataFrame, scratch: Scratch, path: str, parts: int, vocabulary: int = 50257) -> DataFrame:
+def write_shards(docs: DataFrame, scratch: Scratch, path: str, parts: int) -> DataFrame:
     """Writes documents(doc_id, text) in ascending doc_id order; returns the shard table as read back."""
-    rows = docs.select("doc_id", text_of().alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return scratch.save(rows.mapInArrow(_writer(path, vocabulary), SHARDS), "shards")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    return scratch.save(rows.mapInArrow(_writer(path), SHARDS), "shards")
 
 
 _DIGESTS = "part int, shard_no int, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -177,21 +181,22 @@ def _digests(batches):
     for b in batches:
         for i in range(b.num_rows):
             shard = ShardFile(b.column("file")[i].as_py())
-            data = memoryview(shard.expand(shard.seq).astype("<u4")).cast("B")
             n = shard.lengths()
-            ends = np.cumsum(n)
-            crc = [zlib.crc32(data[4 * s : 4 * e]) for s, e in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+            crc = [zlib.crc32(shard.document(k).astype("<u4")) for k in range(len(n))]
             place = [pa.array([b.column(c)[i].as_py()] * len(n), pa.int32()) for c in ("part", "shard_no")]
-            values = [pa.array(b.column("doc_ids")[i].as_py(), pa.int64()), pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
+            values = [b.column("doc_ids")[i].values, pa.array(np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays([*place, *values], names=["part", "shard_no", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_digests(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files.
+    """(doc_id, start, n_tokens, ids_crc32) of each document, each decoded by itself from its file.
 
-    Shard starts are sums over the shard list (a row for each SHARD_TOKENS ids); files are read in place.
+    Shard starts are sums over a task's shards, and over tasks; files are read in place.
     """
-    before = F.sum("tokens").over(Window.orderBy("part", "shard_no").rowsBetween(Window.unboundedPreceding, -1))
-    firsts = shards.select("part", "shard_no", "tokens").select("part", "shard_no", F.coalesce(before, F.lit(0)).alias("first"))
-    own = shards.select("part", "shard_no", "doc_ids", "file").mapInArrow(_digests, _DIGESTS)
+    before = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    parts = parts.select("part", F.coalesce(F.sum("tokens").over(before("part")), F.lit(0)).alias("base"))
+    inside = F.coalesce(F.sum("tokens").over(before("shard_no", "part")), F.lit(0))
+    firsts = shards.select("part", "shard_no", inside.alias("inside")).join(parts, "part").select("part", "shard_no", (F.col("base") + F.col("inside")).alias("first"))
+    own = shards.select("part", "shard_no", "doc_ids", "file").mapInArrow(lean(_digests), _DIGESTS)
     return own.join(firsts, ["part", "shard_no"]).select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

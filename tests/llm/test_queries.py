@@ -347,7 +347,7 @@ def test_op8(spark, data):
 
 
 def test_round_robin_holds_shares():
-    from lectern.llm.packing import round_robin
+    from lectern.llm.packing import round_robin, windows_of
 
     rng = random.Random(1)
     sources = [rng.choice("aaab") for _ in range(400)]
@@ -357,7 +357,7 @@ def test_round_robin_holds_shares():
         total[s] += n
     share = {s: n / sum(lengths) for s, n in total.items()}
     by, so_far = defaultdict(Counter), Counter()
-    for i, _, n, w, _ in round_robin(lengths, sources, {}, share):
+    for i, _, n, w, _ in round_robin(lengths, sources, {}, share, windows_of(sum(lengths))):
         by[w][sources[i]] += n
     for w in sorted(by)[:-12]:
         so_far.update(by[w])
@@ -404,13 +404,15 @@ def test_op9(spark, data):
         text = "\n".join(r[c] or "" for c in ("source", "lang", "text"))
         vocab = [len(tok.id_to_token(i)) for i in tok.encode(text, add_special_tokens=False).ids]
         spans, at = [], 0
-        for line in text.encode().split(b"\n"):
+        for line in text.split("\n"):
             spans.append((at, at + len(line)))
             at += len(line) + 1
+        place = [k for k, c in enumerate(text) for _ in c.encode()]  # the character of each byte
         counts, at = [0] * len(spans), 0
         for n in vocab:
-            inside = [max(0, min(e, at + n) - max(s, at)) for s, e in spans]
-            before = max(i for i, (s, _) in enumerate(spans) if s <= at)
+            begin, end = place[at], place[at + n - 1] + 1
+            inside = [max(0, min(e, end) - max(s, begin)) for s, e in spans]
+            before = max(i for i, (s, _) in enumerate(spans) if s <= begin)
             counts[inside.index(max(inside)) if max(inside) else before] += 1
             at += n
         want.append((r["doc_id"], len(vocab), len(spans), [counts[0], counts[1], sum(counts[2:])], counts))
