@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .combinators import chain, let, literals, quote, regex_map
-from .numbers import NUMBER_STEPS
 
 # Units and chemistry in the order of replacement.
 UNITS = [
@@ -41,7 +41,13 @@ REJOIN = [
     (r"ψ\s+xyl", "ψ_xyl"), (r"ψ\s+ssc", "ψ_ssc"), (r"\bOZX\b", "OXZ"),
 ]
 ABBREVIATIONS = ["et al.", "e.g.", "i.e.", "fig.", "vs.", "approx.", "cf.", "eq.", "sec.", "no.", "dr.", "st.", "al.", "spp.", "ca."]
+# What a link is, what closes a sentence after it, and how it is read.
+URL = r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|io|edu|gov|ai|co|dev|app|info|me|xyz)/\S+"
+URL_HINT = r"https?://|www\.|\.(?:com|org|net|io|edu|gov|ai|co|dev|app|info|me|xyz)/"
+URL_CLOSING = ").,;:]'\""
 LINK = "the link in the text"
+# A phrase and a gloss in parentheses after it.
+GLOSS = r"([A-Za-z][\w-]*(?:[ \t][\w-]+)*)[ \t]*\(([A-Za-z][\w \t-]*?)\)"
 
 
 @dataclass(frozen=True)
@@ -124,9 +130,7 @@ def normalize_stats(text: Column) -> Column:
 
 def replace_urls(text: Column) -> Column:
     """Links become a phrase; closing punctuation stays."""
-    tld = "com|org|net|io|edu|gov|ai|co|dev|app|info|me|xyz"
-    url = rf"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:{tld})/\S+"
-    return regex_map(text, url, lambda m: F.concat(F.lit(f" {LINK} "), F.regexp_extract(m, r"""[).,;:\]'"]*$""", 0)))
+    return regex_map(text, URL, lambda m: F.concat(F.lit(f" {LINK} "), F.regexp_extract(m, "[" + quote(URL_CLOSING) + "]*$", 0)))
 
 
 def collapse_links(text: Column) -> Column:
@@ -147,35 +151,26 @@ def paren_key(text: Column) -> Column:
 
 def collapse_redundant_parenthetical_once(text: Column) -> Column:
     """A phrase followed by itself in parentheses loses the copy, if that has several words."""
-    pattern = r"([A-Za-z][\w-]*(?:[ \t][\w-]+)*)[ \t]*\(([A-Za-z][\w \t-]*?)\)"
 
     def one(m: Column) -> Column:
-        before, inside = F.regexp_extract(m, pattern, 1), paren_key(F.regexp_extract(m, pattern, 2))
+        before, inside = F.regexp_extract(m, GLOSS, 1), paren_key(F.regexp_extract(m, GLOSS, 2))
         return F.when(F.contains(inside, F.lit(" ")) & F.endswith(paren_key(before), inside), before).otherwise(m)
 
-    return regex_map(text, pattern, one)
+    return regex_map(text, GLOSS, one)
 
 
-def tidy(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s+([,.;:!?])", "$1"))
-
-
-def _gated(step, entries: list[Entry]):
-    """step, run only on texts that hold one of the graphemes."""
-    hints = [("" if e.case_sensitive else "(?i:") + quote(e.grapheme) + ("" if e.case_sensitive else ")") for e in entries]
-    return lambda t: F.when(t.rlike("|".join(hints)), step(t)).otherwise(t)
+def without_repeated_gloss(text: str) -> str:
+    """The same for a Python string, up to four times."""
+    key = lambda phrase: " ".join(re.split(r"[\s_-]+", phrase)).strip().lower()
+    for _ in range(4):
+        before, text = text, re.sub(GLOSS, lambda m: m[1] if " " in key(m[2]) and key(m[1]).endswith(key(m[2])) else m[0], text)
+        if text == before:
+            break
+    return text
 
 
-def once_steps(lexicon: list[Entry] = LEXICON) -> list:
-    """One pass, as steps from text to text, in order: units, lexicon, Greek, operators, numbers."""
-    units = [Entry(raw, spoken, "unit") for raw, spoken in UNITS]
-    return [
-        _gated(normalize_units, units),
-        _gated(lambda t: apply_lexicon(t, lexicon), alias_entries(lexicon)),
-        expand_greek_letters,
-        normalize_stats,
-        *NUMBER_STEPS,
-    ]
+def tidy(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+", " "), r"\s+([,.;:!?])", "$1"))
 
 
 def apply_steps(rows: DataFrame, column: str, steps: list) -> DataFrame:
@@ -185,12 +180,6 @@ def apply_steps(rows: DataFrame, column: str, steps: list) -> DataFrame:
     return rows
 
 
-def normalize_steps(rows: DataFrame, column: str, lexicon: list[Entry] = LEXICON, passes: int = 2) -> DataFrame:
-    """The normaliser in column expressions alone, for few passes; speak.py has the one for any number."""
-    start = [replace_urls, collapse_links, normalize_dashes]
-    return apply_steps(rows, column, [*start, *once_steps(lexicon) * passes, sweep_forbidden, *[collapse_redundant_parenthetical_once] * 4, tidy])
-
-
 def fix_mojibake(text: Column) -> Column:
     """Detached diacritics go; text without any is left alone."""
     marks = "¨´ˆ˜̀-ͯ"

@@ -9,31 +9,44 @@ from .combinators import counts, let, only, words_of
 from .numbers import number_to_words
 
 # Word classes.
-NEGATIONS = "not no never none neither nor cannot without nothing nobody hardly scarcely barely non".split()
-SCOPE = "only all every each both more less fewer most least any some few many much".split()
-UP = "increased increase increases increasing rose rise rises risen higher highest greater greatest positive positively faster doubled tripled quadrupled exceeded exceed gained gain upregulated".split()
-DOWN = "decreased decrease decreases decreasing fell fall falls fallen lower lowest lesser negative negatively slower halved lost loss downregulated".split()
+NEGATIONS = ["not", "no", "never", "none", "neither", "nor", "cannot", "without", "nothing", "nobody", "hardly", "scarcely", "barely", "non"]
+SCOPE = ["only", "all", "every", "each", "both", "more", "less", "fewer", "most", "least", "any", "some", "few", "many", "much"]
+UP = [
+    "increased", "increase", "increases", "increasing", "rose", "rise", "rises", "risen", "higher", "highest", "greater", "greatest", "positive",
+    "positively", "faster", "doubled", "tripled", "quadrupled", "exceeded", "exceed", "gained", "gain", "upregulated",
+]
+DOWN = [
+    "decreased", "decrease", "decreases", "decreasing", "fell", "fall", "falls", "fallen", "lower", "lowest", "lesser", "negative", "negatively",
+    "slower", "halved", "lost", "loss", "downregulated",
+]
 DIRECTION = [*UP, *DOWN, "above", "below", "under", "before", "after"]
-FUNCTION = (
-    "a an the and or but yet so for of in on at to by with from into onto upon between among through during as than then thus "
-    "it its this that these those they them their we our us he she his her him i you your which who whom whose "
-    "there here is are was were be been being am has have had do does did will would shall should can could may "
-    "might must if while when where because since although though"
-).split()
-NUMBERS = (
-    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
-    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion trillion point minus plus half "
-    "first second third fourth fifth sixth seventh eighth ninth tenth hundreds thousands millions billions dozen dozens fold decade decades quarter quarters thirds"
-).split()
-UNIT_WORDS = (
-    "millimeters millimeter centimeters centimeter meters meter kilometers micrometers micrometer nanometers nanometer angstrom angstroms "
-    "molar millimolar micromolar moles micromoles millimoles nanomoles grams kilograms milligrams micrograms nanograms kilogram milligram "
-    "pascals pascal kilopascals megapascals gigapascals bars millibars volts millivolts microvolts kilovolts ohms amperes milliamperes "
-    "watts milliwatts kilowatts joules kilojoules newtons kelvin celsius fahrenheit degrees percent hertz kilohertz megahertz gigahertz "
-    "liters milliliters microliters radians siemens tesla micromole millimole"
-).split()
-CONNECTIVES = "per times over divided squared cubed".split()
-NOTATION = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
+FUNCTION = [
+    "a", "an", "the", "and", "or", "but", "yet", "so", "for", "of", "in", "on", "at", "to", "by", "with", "from", "into", "onto", "upon", "between",
+    "among", "through", "during", "as", "than", "then", "thus", "it", "its", "this", "that", "these", "those", "they", "them", "their", "we", "our",
+    "us", "he", "she", "his", "her", "him", "i", "you", "your", "which", "who", "whom", "whose", "there", "here", "is", "are", "was", "were", "be",
+    "been", "being", "am", "has", "have", "had", "do", "does", "did", "will", "would", "shall", "should", "can", "could", "may", "might", "must",
+    "if", "while", "when", "where", "because", "since", "although", "though",
+]
+NUMBERS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen",
+    "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred",
+    "thousand", "million", "billion", "trillion", "point", "minus", "plus", "half", "first", "second", "third", "fourth", "fifth", "sixth",
+    "seventh", "eighth", "ninth", "tenth", "hundreds", "thousands", "millions", "billions", "dozen", "dozens", "fold", "decade", "decades",
+    "quarter", "quarters", "thirds",
+]
+UNIT_WORDS = [
+    "millimeters", "millimeter", "centimeters", "centimeter", "meters", "meter", "kilometers", "micrometers", "micrometer", "nanometers",
+    "nanometer", "angstrom", "angstroms", "molar", "millimolar", "micromolar", "moles", "micromoles", "millimoles", "nanomoles", "grams",
+    "kilograms", "milligrams", "micrograms", "nanograms", "kilogram", "milligram", "pascals", "pascal", "kilopascals", "megapascals", "gigapascals",
+    "bars", "millibars", "volts", "millivolts", "microvolts", "kilovolts", "ohms", "amperes", "milliamperes", "watts", "milliwatts", "kilowatts",
+    "joules", "kilojoules", "newtons", "kelvin", "celsius", "fahrenheit", "degrees", "percent", "hertz", "kilohertz", "megahertz", "gigahertz",
+    "liters", "milliliters", "microliters", "radians", "siemens", "tesla", "micromole", "millimole",
+]
+CONNECTIVES = ["per", "times", "over", "divided", "squared", "cubed"]
+NOTATION = [
+    "alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu", "nu", "xi", "omicron", "pi", "rho",
+    "sigma", "tau", "upsilon", "phi", "chi", "psi", "omega",
+]
 VALUES = [*NUMBERS, *UNIT_WORDS, *CONNECTIVES, *NOTATION]
 MAX_SPAN, MIN_NEW, MAX_NEW = 200, 5, 0.6
 VIOLATIONS = "array<struct<kind:string,detail:string>>"

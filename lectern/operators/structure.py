@@ -16,6 +16,8 @@ WEAK = [
 ]
 CODE = r"(?m)^\s*(?:import|from)\s+\w|\bimport \w+ as |\bfrom \w+ import\b|\bdef \w+\(|\bprint\(|\bfunction \w+\("
 SPACED = r"\b\w(?: \w){3,}"
+# A line of settings.
+SETTING = r"(?m)^\s*[\w.\-]+\s*[:=]\s*\S"
 
 
 def is_blob(text: Column) -> Column:
@@ -29,7 +31,7 @@ def looks_non_prose(text: Column) -> Column:
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     prose = F.filter(words, lambda w: (F.length(w) >= 2) & w.rlike(r"\p{L}"))
     signs = sum((text.rlike(p).cast("int") for p in WEAK), F.lit(0))
-    config = F.regexp_count(text, F.lit(r"(?m)^\s*[\w.\-]+\s*[:=]\s*\S"))
+    config = F.regexp_count(text, F.lit(SETTING))
     return F.contains(text, F.lit("```")) | text.rlike(SPACED) | is_blob(text) | text.rlike(CODE) | (config >= 2) | (signs >= 2) | ((F.size(words) >= 4) & (F.size(prose) < 0.4 * F.size(words)))
 
 

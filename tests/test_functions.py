@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import audio, citations, markup, numbers, replies, speak, verify
+from lectern.functions import audio, citations, markup, notation, numbers, replies, speak, verify
 from lectern.functions import text as T
 
 
@@ -17,10 +17,10 @@ PAIRS = [
     (numbers.number_to_words, {"0.05": "zero point zero five", "-2.4": "minus two point four", "1,234.5": "one thousand two hundred thirty-four point five", ".5": "zero point five", "12": "twelve"}),
     (numbers.year_to_words, {2019: "twenty nineteen", 2005: "two thousand five", 1900: "nineteen hundred", 2000: "two thousand", 1905: "nineteen oh five", 999: "nine hundred ninety-nine"}),
     (numbers.section_to_words, {"2.3.1": "two point three point one", "6.10": "six point ten", "A.2": "A point two"}),
-    (numbers.handle_decades, {"the 1890s, 1900s and 2000s": "the eighteen nineties, nineteen hundreds and two thousands", "2010s": "twenty tens"}),
-    (numbers.handle_cross_references, {"see Section 2.3.1 here": "see Section two point three point one here"}),
-    (numbers.handle_ranges, {"10–12 and 1.5 - 2": "10 to 12 and 1.5 to 2"}),
-    (numbers.handle_superscripts, {"x^2 y^{-3} z^10": "x squared y to the minus three z to the ten"}),
+    (lambda c: notation.voiced(c, "decade"), {"the 1890s, 1900s and 2000s": "the eighteen nineties, nineteen hundreds and two thousands", "2010s": "twenty tens"}),
+    (lambda c: notation.voiced(c, "reference"), {"see Section 2.3.1 here": "see Section two point three point one here"}),
+    (lambda c: notation.voiced(c, "range"), {"10–12 and 1.5 - 2": "10 to 12 and 1.5 to 2"}),
+    (lambda c: notation.voiced(c, "power"), {"x^2 y^{-3} z^10": "x squared y to the minus three z to the ten"}),
     (T.normalize_ligatures, {"eﬃcient ﬁt": "efficient fit"}),
     (T.dehyphenate, {"exam-\nple of\n  lines": "example of lines", "PYR– PP2C": "PYR–PP2C"}),
     (T.rejoin_split_tokens, {"g s and H2 O2": "gs and H2O2"}),
@@ -79,9 +79,9 @@ def test_normalizer_of_links_alone(spark):
 
 def test_python_numbers_match_columns(spark):
     ns = [0, 5, 13, 40, 99, 100, 101, 999, 1000, 1001, 123_456, 999_999_999, 10**9, 7_000_014]
-    assert values(spark, numbers.int_to_words, ns) == [speak.cardinal(n) for n in ns]
+    assert values(spark, numbers.int_to_words, ns) == [notation.cardinal(n) for n in ns]
     tokens = ["0.5", "-3", "1,000", "12.05", "7."]
-    assert values(spark, numbers.number_to_words, tokens) == [speak.numeral(t) for t in tokens]
+    assert values(spark, numbers.number_to_words, tokens) == [notation.numeral(t) for t in tokens]
 
 
 def test_repetition(spark):
