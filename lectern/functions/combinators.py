@@ -28,12 +28,16 @@ def chain(text: Column, *steps: Fn) -> Column:
 def regex_map(text: Column, pattern: str, replace: Fn) -> Column:
     """text with every match of pattern replaced by replace(match).
 
-    Splitting and extracting walk the same matches, so pieces and replacements interleave.
+    Splitting and extracting walk the same matches, so pieces and replacements interleave. The text is evaluated
+    once, so that nested calls don't multiply their expressions.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    spoken = F.concat(F.transform(matches, replace), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(F.split(text, pattern, -1), spoken, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return F.when(text.rlike(pattern), joined).otherwise(text)
+
+    def over(t: Column) -> Column:
+        spoken = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), replace), F.array(F.lit("")))
+        joined = F.array_join(F.zip_with(F.split(t, pattern, -1), spoken, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
+
+    return let(text, over)
 
 
 def group(match: Column, pattern: str, n: int) -> Column:

@@ -6,7 +6,6 @@ exchange on doc_id serves a chain of them.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,35 +76,47 @@ def merge_title_spillovers(blocks: DataFrame) -> DataFrame:
 def merge_continuations(blocks: DataFrame) -> DataFrame:
     """Unterminated paragraphs take in the one that continues them, past figures and tables.
 
-    Each join depends on the one before, so this is a fold over a document's rows (doc_id, pos, type, text).
+    A paragraph joins the one before it (with no other kind of block between) by what stands between them:
+
+    nothing   if that one ends in a hyphen or without a full stop
+    figures   if that one ends without a full stop and this one begins in lower case
+
+    "Figures" holds on through a chain of joins, so it is a recurrence: set where a figure stands, kept while the
+    second rule holds. Both are running maxima, so windows of one exchange do it without a fold.
     """
-    flags = blocks.select("*", T.ends_hyphenated(F.col("text")).alias("_hyphen"), T.ends_sentence(F.col("text")).alias("_ended"), T.keeps_hyphen(F.col("text")).alias("_keeps"), F.substring("text", 1, 1).rlike(r"\p{Ll}").alias("_low"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        out: list[dict] = []
-        head, between = None, False
-        for r in rows.to_dict("records"):
-            if r["type"] != "paragraph":
-                out.append(r)
-                between = True
-                if r["type"] not in ("figure_caption", "table"):
-                    head = None
-                continue
-            joins = head is not None and ((head["_hyphen"] and not between) or (not head["_ended"] and (not between or r["_low"])))
-            if not joins:
-                out.append(r)
-                head, between = r, False
-                continue
-            text = head["text"].rstrip()
-            if head["_hyphen"] and not between:
-                head["text"] = (text if head["_keeps"] else text[:-1]) + r["text"]
-            else:
-                head["text"] = text + " " + r["text"].lstrip()
-            head |= {k: r[k] for k in ("_hyphen", "_ended", "_keeps")}
-        return pd.DataFrame(out, columns=rows.columns)
-
-    return flags.groupBy("doc_id").applyInPandas(fold, flags.schema).drop("_hyphen", "_ended", "_keeps", "_low")
+    paragraph = F.col("type") == "paragraph"
+    figure = F.col("type").isin("figure_caption", "table")
+    so_far = by_doc(*SO_FAR)
+    rows = blocks.withColumn("_wall", F.sum((~paragraph & ~figure).cast("int")).over(so_far)).withColumn("_figures", F.sum(figure.cast("int")).over(so_far))
+    rows = rows.withColumn("_para", paragraph)
+    line = Window.partitionBy("doc_id", "_para").orderBy("pos")
+    before = F.lag(F.struct("_wall", "_figures", T.ends_hyphenated(F.col("text")).alias("hyphen"), T.ends_sentence(F.col("text")).alias("ended"))).over(line)
+    rows = rows.withColumn("_before", F.when(F.col("_para"), before))
+    met = F.col("_para") & F.coalesce(F.col("_before._wall") == F.col("_wall"), F.lit(False))
+    low = F.substring("text", 1, 1).rlike(r"\p{Ll}")
+    rows = rows.withColumn("_near", met & (F.col("_before.hyphen") | ~F.col("_before.ended"))).withColumn("_far", met & ~F.col("_before.ended") & low)
+    apart = met & (F.col("_before._figures") < F.col("_figures"))
+    # chained figures: the latest row with figures before it is not earlier than the latest that ends such a chain
+    upto = line.rowsBetween(*SO_FAR)
+    set_, reset = F.max(F.when(F.col("_far") & apart, F.col("pos"))).over(upto), F.max(F.when(~F.col("_far"), F.col("pos"))).over(upto)
+    rows = rows.withColumn("_kept", F.col("_far") & F.coalesce(set_ > F.coalesce(reset, F.lit(-1)), F.lit(False)))
+    figures = apart | (met & F.coalesce(F.lag("_kept").over(line), F.lit(False)))
+    rows = rows.withColumn("_apart", figures).withColumn("_joins", F.when(F.col("_apart"), F.col("_far")).otherwise(F.col("_near")))
+    rows = rows.withColumn("_chain", F.when(F.col("_para"), F.sum((~F.col("_joins")).cast("int")).over(upto)))
+    # each piece gives up its end to the next one, and its leading space to the one before
+    hyphen = lambda flag, apart: flag & ~apart
+    own = T.ends_hyphenated(F.col("text"))
+    after = F.lead(F.struct("_joins", "_apart")).over(line)
+    rows = rows.withColumn("_after", F.when(F.col("_para") & after["_joins"], after))
+    bare = F.regexp_replace("text", r"\s+$", "")
+    end = F.when(F.col("_after").isNull(), F.col("text")).when(hyphen(own, F.col("_after._apart")) & ~T.keeps_hyphen(F.col("text")), F.expr("left(_bare, length(_bare) - 1)")).otherwise(F.col("_bare"))
+    spaced = F.col("_joins") & ~hyphen(F.col("_before.hyphen"), F.col("_apart"))
+    rows = rows.withColumn("_bare", bare).withColumn("_piece", end)
+    rows = rows.withColumn("_piece", F.when(spaced, F.concat(F.lit(" "), F.regexp_replace("_piece", r"^\s+", ""))).otherwise(F.col("_piece")))
+    chain = Window.partitionBy("doc_id", "_para", "_chain")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "_piece")).over(chain)), lambda x: x["_piece"]), "")
+    rows = rows.withColumn("_whole", F.when(F.col("_para") & (F.count(F.lit(1)).over(chain) > 1), whole).otherwise(F.col("text")))
+    return rows.where(~F.col("_joins")).withColumn("text", F.col("_whole")).select(*blocks.columns)
 
 
 def attach_sections(blocks: DataFrame) -> DataFrame:
@@ -206,24 +217,24 @@ def map_sections(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """blocks with decision, section_kind, section_chapter and section_head from sections(doc_id, pos, title, kind).
 
     Headings use up sections with their title from left to right, each once; a decision holds until the next
-    match, and before the first it is review. Each match depends on the one before: a fold over a document.
+    match, and before the first it is review. Each match depends on the one before: a fold over a document's
+    headings, by array lookups.
     """
     body = (F.lower(F.trim("kind")) == "body_chapter").cast("int")
     listed = sections.withColumn("chapter", F.when(body == 1, F.sum(body).over(by_doc(*SO_FAR)))).withColumn("key", T.heading_key(F.col("title"))).where("key <> ''")
-    entry = F.struct("pos", "key", "kind", section_decision(F.col("kind")).alias("decision"), "chapter")
-    plan = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("plan"))
-    heads = blocks.where("type = 'heading'").select("doc_id", "pos", T.heading_key(F.col("text")).alias("key")).join(plan, "doc_id")
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        left, out = list(rows["plan"].iloc[0]), []
-        for r in rows.sort_values("pos").itertuples():
-            k = next((k for k, s in enumerate(left) if s["key"] == r.key), None)
-            if k is not None:
-                out.append((r.doc_id, r.pos, left[k]["decision"], left[k]["kind"], left[k]["chapter"]))
-                left = left[k + 1 :]
-        return pd.DataFrame(out, columns=["doc_id", "pos", "decision", "kind", "chapter"]).astype({"chapter": "Int64"})
-
-    found = heads.groupBy("doc_id").applyInPandas(match, "doc_id long, pos int, decision string, kind string, chapter long")
+    entry = F.struct("pos", "key", "kind", section_decision(F.col("kind")).alias("decision"), F.col("chapter").cast("int").alias("chapter"))
+    plan = listed.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("plan")).withColumn("keys", F.transform("plan", lambda x: x["key"]))
+    heads = blocks.where("type = 'heading'").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", T.heading_key(F.col("text")).alias("key")))).alias("heads")).join(plan, "doc_id")
+    # used: sections gone by; found: (heading, section) pairs
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<pos:int,at:long>>").alias("found"))
+
+    def step(a: Column, h: Column) -> Column:
+        k = F.array_position(F.slice("keys", (a["used"] + 1).cast("int"), F.size("keys")), h["key"])
+        pair = F.struct(h["pos"].cast("int").alias("pos"), (a["used"] + k).alias("at"))
+        return F.struct((a["used"] + k).alias("used"), F.when(k > 0, F.concat(a["found"], F.array(pair))).otherwise(a["found"]).alias("found"))
+
+    found = heads.select("doc_id", "plan", F.explode(F.aggregate("heads", start, step, lambda a: a["found"])).alias("f"))
+    found = found.select("doc_id", F.col("f.pos").alias("pos"), F.element_at("plan", F.col("f.at").cast("int")).alias("s")).select("doc_id", "pos", "s.decision", "s.kind", "s.chapter")
     met = blocks.join(found.select("doc_id", "pos", F.struct("decision", "kind", F.col("chapter").cast("int").alias("chapter")).alias("_s")), ["doc_id", "pos"], "left")
     now = F.last("_s", ignorenulls=True).over(by_doc(*SO_FAR))
     met = met.withColumn("section_head", F.col("_s").isNotNull()).withColumn("_now", now)

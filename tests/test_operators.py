@@ -1,5 +1,9 @@
 """Block, chunk, edit and score operators on small ordered tables."""
 
+import random
+import re
+from collections import defaultdict
+
 from lectern.operators import blocks as B
 from lectern.operators import chunks as C
 from lectern.operators import edits as E
@@ -36,7 +40,7 @@ def test_chunks(spark):
     assert "".join(r.text for r in got) == "abcdefghijklmnopqrstuvwxyz" and all(len(r.text) <= 6 for r in got)
     assert [r.text for r in got] == ["abcdef", "ghij", "klmnop", "qrstuv", "wxyz"] and [r.block_ids for r in got][2] == ["b"]
     assert [r.prev_id for r in got] == [None, "chunk.1", "chunk.2", "chunk.3", "chunk.4"] and got[-1].next_id is None
-    frame = spark.createDataFrame([tuple(r) for r in got], C.CHUNKS)
+    frame = spark.createDataFrame([tuple(r) for r in got], "doc_id long, chunk_no int, chunk_id string, text string, chapter int, block_ids array<string>, prev_id string, next_id string")
     assert [r.chunk_no for r in C.preview_chunks(frame).orderBy("chunk_no").collect()] == [1, 2, 3]
     assert [(r["index"], r.chapter, r.n) for r in C.chapter_islands(frame).orderBy("index").collect()] == [(1, 1, 3), (2, 2, 2)]
 
@@ -172,3 +176,56 @@ def test_region_types(spark):
     blocks = pipeline.as_blocks(spark.createDataFrame(rows, RAW))
     got = B.retype_regions(B.apply_regions(blocks, regions)).orderBy("pos").collect()
     assert [(r.type, r.chapter) for r in got] == [("heading", 3), ("reference_list", None), ("table", None)]
+
+
+def continued(rows):
+    """The rule of merge_continuations as a loop over (pos, type, text) rows."""
+    out, head, between = [], None, False
+    for pos, kind, text in rows:
+        if kind != "paragraph":
+            out.append([pos, kind, text])
+            between, head = True, head if kind in ("figure_caption", "table") else None
+            continue
+        if head is not None:
+            before = head[2].rstrip()
+            hyphen, ended = bool(re.search("[a-z][-\xad]$", head[2].strip())), bool(re.search("[.!?]$", re.sub("[”\"']+$", "", before)))
+            if hyphen and not between:
+                stem = re.search("(\\w+)[-\xad]$", before)
+                head[2] = (before if stem and len(stem[1]) >= 3 else before[:-1]) + text
+                continue
+            if not ended and (not between or text[:1].islower()):
+                head[2] = before + " " + text.lstrip()
+                continue
+        head, between = [pos, kind, text], False
+        out.append(head)
+    return [tuple(r) for r in out]
+
+
+def test_continuations_against_a_loop(spark):
+    rng = random.Random(4)
+    texts = ["and so on", "It ended.", "A long hy-", "an a-", "Next one", "next one", "quoted.”", "more!", "x -", "trailing  ", "the co-"]
+    docs = [[(k, rng.choice(["paragraph"] * 5 + ["table", "figure_caption", "heading"]), rng.choice(texts)) for k in range(rng.randrange(0, 14))] for _ in range(400)]
+    rows = [(d, *r) for d, doc in enumerate(docs) for r in doc]
+    got = defaultdict(list)
+    for r in B.merge_continuations(spark.createDataFrame(rows, "doc_id long, pos int, type string, text string")).collect():
+        got[r.doc_id].append((r.pos, r.type, r.text))
+    assert {d: sorted(v) for d, v in got.items()} == {d: continued(doc) for d, doc in enumerate(docs) if doc}
+
+
+def test_chunks_against_a_loop(spark):
+    rng = random.Random(5)
+    rows = [(d, k, rng.choice("abc") * rng.randrange(0, 17), rng.choice([None, "x", "y"]), rng.choice([None, 1, 2])) for d in range(60) for k in range(rng.randrange(1, 20))]
+    want = defaultdict(list)
+    for d, _, text, block, chapter in rows:
+        for part in [text[k : k + 7] for k in range(0, len(text), 7)]:
+            chunks = want[d]
+            if not chunks or len(chunks[-1][0]) + len(part) > 7:
+                chunks.append(["", chapter, []])
+            chunks[-1][0] += part
+            if block is not None and block not in chunks[-1][2]:
+                chunks[-1][2].append(block)
+    got = defaultdict(list)
+    for r in C.plan_chunks(spark.createDataFrame(rows, "doc_id long, pos int, text string, block_id string, chapter int"), 7).orderBy("doc_id", "chunk_no").collect():
+        got[r.doc_id].append([r.text, r.chapter, r.block_ids])
+        assert r.chunk_id == f"chunk.{r.chunk_no}" and r.chunk_no == len(got[r.doc_id])
+    assert got == {d: c for d, c in want.items() if c}
