@@ -97,6 +97,8 @@ def reply_paths(spark: SparkSession, messages: DataFrame, scratch: Scratch, bran
         # who has the 2^k-th message above
         higher = members.where(F.col("pos") >= 1 << k).join(up, "msg").select("path", "root", "path_rank", F.col("anc").alias("msg"), (F.col("pos") - (1 << k)).alias("pos"))
         members = scratch.save(members.unionByName(higher), f"members{k}")
+    last = len(steps) - 2
+    scratch.drop(*[f"up{k}" for k in range(len(steps))], *[f"members{k}" for k in range(last, 0, -1)], *(["paths"] if last >= 0 else []))
     return members
 
 

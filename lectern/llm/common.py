@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -27,6 +28,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of a batch that goes to a Python worker while a scratch table is written: kernels cut batches further by bytes.
+BATCH_ROWS = 4000
+
+
+@contextmanager
+def smaller_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Batches of at most `rows` rows for what runs inside, whatever the session's limit: both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Scratch:
     """Tables written once to the shared folder, so that a lost executor never costs recomputation and lineage stays short."""
 
@@ -37,9 +54,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-        """Write df as Parquet and return a reader of it."""
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+    def save(self, df: DataFrame, name: str, codec: str = "snappy", rows: int = BATCH_ROWS) -> DataFrame:
+        """Write df as Parquet and return a reader of it; rows: of a batch that goes to a Python worker meanwhile."""
+        with smaller_batches(self.spark, rows):
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

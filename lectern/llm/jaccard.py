@@ -45,8 +45,8 @@ CELLS, SKETCH_BLOCKS = 1 << 21, 64
 SHARED, BAND = 3, 1.1
 #: Bounds of a group and of the queries that meet it in one place; one text at least.
 MEMBERS, MEMBER_TOKENS, VISITORS, VISITOR_TOKENS = 1024, 1 << 20, 4096, 1 << 22
-#: Bytes of text that are cut into tokens at once.
-SLICE = 6_000_000
+#: Rows of a batch, and bytes of text that are cut into tokens at once.
+ROWS, SLICE = 2000, 2_000_000
 #: Bits of a post's size field.
 SIZE_BITS = 24
 _A, _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -362,13 +362,13 @@ def band(n: Column) -> Column:
 def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, class_size) of documents(doc_id, text); links of `percent` similarity or more."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
-    made = scratch.save(texts.mapInArrow(_classify(words), CLASSES), "classes")
+    made = scratch.save(texts.mapInArrow(_classify(words), CLASSES), "classes", rows=ROWS)
     classes = made.where("block is null").select("doc_id", "hash", "n", "key", "sid")
     sent = spark.sparkContext.broadcast(_merged_sketch(spark, made.where("block is not null").select("block", "counts")))
 
     # tokens in the prefixes of two classes or more
     posts = texts.where("text is not null").select("text").mapInArrow(_posts(words, percent, sent), "t long, sid long, gn long")
-    posts = scratch.save(posts, "posts")
+    posts = scratch.save(posts, "posts", rows=ROWS)
     sent.unpersist()
     ends = posts.groupBy("t").agg(F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y").select("t")
     posts = posts.join(ends, "t", "left_semi").dropDuplicates(["t", "sid"])
@@ -408,7 +408,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, w
     one = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))
     brought = texts.where("text is not null").join(need.hint("shuffle_hash"), one).select("text", "key", "copies", "visits")
     placed = brought.mapInArrow(_visits(words), VISITS).repartition("cell").sortWithinPartitions("cell", "role", "key")
-    links = scratch.save(placed.mapInArrow(_verify(percent), LINKS), "links")
+    links = scratch.save(placed.mapInArrow(_verify(percent), LINKS), "links", rows=ROWS)
     scratch.drop("grouped", "queries")
 
     roots = components(spark, links.select("a", "b"), scratch)

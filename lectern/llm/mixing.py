@@ -89,12 +89,13 @@ def mix(sized: DataFrame, seed: int = 7, scratch: Scratch | None = None, **share
     rest = placed.where("state <> 'here'").withColumn("pick", F.col("state") == "below")
     cut = here.unionByName(rest).select("id", "source", "size", "key", "row", "rest", (F.col("pick") & (F.col("size") > 0)).alias("pick"), "extra")
     cut = own.save(cut, "picks")
-    own.drop("keys")
+    own.drop("keys", "sums", "sources")
     got = cut.groupBy(F.col("source").alias("_of")).agg((F.max("rest") - F.sum(F.when(F.col("pick"), F.col("size")).otherwise(0))).alias("gap"))
     got = own.save(got, "gaps")
     near = F.abs(F.col("gap") - F.col("size"))
     open_ = cut.where("not pick and size > 0").join(got, _same("source", "_of")).where(near < F.col("gap"))
     last = own.save(open_.groupBy("source").agg(F.min(F.struct(near.alias("off"), "key", "id", "row")).alias("last")).select(F.col("last.row").alias("_row")), "last")
+    own.drop("gaps")
     done = cut.join(plan.select("_of", "source_size", "target", "whole"), _same("source", "_of")).join(last, F.col("row") == F.col("_row"), "left")
     copies = F.col("whole") + (F.col("pick") | F.col("_row").isNotNull()).cast("long")
     return done.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col("extra")[c].alias(c) for c in extra])

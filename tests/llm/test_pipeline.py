@@ -50,3 +50,10 @@ def test_one_row_of_each_group_stays(spark):
 
 def test_empty(spark, empty):  # noqa: F811
     assert P.run(spark, empty).count() == 0
+
+
+def test_mix_tells_repeated_rows_apart(spark, sf):
+    rows = [(k % 3, f"word{k} " * 10, "en", "s" if k % 4 else None, 60) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in documents(P.mix(spark, docs, sf)))
+    assert set(got) <= {r[:2] for r in rows} and max(got.values()) <= 2 and abs(sum(got.values()) - 60) <= 1

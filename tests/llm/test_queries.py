@@ -535,3 +535,128 @@ def test_ledger_scans_only_what_is_new(spark):
     newer = (secrets.Rule("assign", 2, "abc"), *secrets.RULES[1:])
     again = secrets.scan_unseen(first, ledger, newer).collect()
     assert {(r.rule, r.version) for r in again} == {("assign", 2)} and len(again) == 2
+
+
+def test_token_sets_of_slices():
+    from lectern.llm.jaccard import token_sets
+
+    texts = pa.array([r["text"] for r in awkward_documents().to_pylist()])
+    whole = list(token_sets(texts, 3))
+    for k in (1, 2, 17, len(texts) - 1):
+        for n in (1, 5, len(texts)):
+            got = list(token_sets(texts.slice(k, n), 3))
+            assert len(got) == min(n, len(texts) - k) and all(np.array_equal(a, b) for a, b in zip(got, whole[k:], strict=False))
+
+
+def test_jaccard_in_small_slices_and_cells(spark, awkward, monkeypatch):
+    from lectern.llm import jaccard
+    from lectern.llm.common import Scratch
+
+    for name, value in (("SLICE", 1000), ("MEMBERS", 3), ("MEMBER_TOKENS", 2000), ("VISITORS", 2), ("VISITOR_TOKENS", 1500)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = jaccard.jaccard_components(spark, spark.read.parquet(f"{awkward}/documents.parquet"), Scratch(spark, "t"), 3, 90)
+    want = classes_brute(rows_of(awkward, "documents"), 3, 90)
+    same([tuple(r)[:4] for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()], [tuple(w)[:4] for w in want])
+
+
+def test_jaccard_of_many_null_ids(spark):
+    from lectern.llm import jaccard
+    from lectern.llm.common import Scratch
+
+    rows = [(None, " ".join(f"n{k // 2}x{i}" for i in range(40)) + (" odd" if k % 2 else "")) for k in range(3000)]
+    docs = spark.createDataFrame([*rows, (5, rows[0][1])], "doc_id long, text string")
+    got = jaccard.jaccard_components(spark, docs, Scratch(spark, "t"), 3, 90).collect()
+    assert len(got) == 3001 and Counter(r.n_links for r in got) == {1: 2998, 2: 3}
+    assert Counter(r.component_id for r in got) == {None: 2998, 5: 3}
+
+
+def lines_brute(t):
+    """Words on lines that fail, by the rules in their order."""
+    from lectern.llm.quality import PHRASES
+
+    lost = 0
+    for x in (t or "").split("\n"):
+        words = len(WORD.findall(x))
+        bars = len([y for y in re.split(r"[ \t\n\x0b\f\r]+", x) if y in ("|", ">", "»", "·", "•")])
+        marks, signs = len(re.findall(r"[#*$%&|<>»·•]", x)), len(re.findall(r"[#*$%&|<>]", x))
+        phrase = re.search(r"(^|[^\W\d_]*?(?<![^\W\d_]))(" + "|".join(PHRASES) + r")(?![^\W\d_])", x.lower())
+        fails = (
+            (marks >= 3 and marks * 4 >= words and bars >= 3 and bars * 4 >= words) or (signs * 3 >= words * 2)
+            or (words >= 4 and x.upper() == x and x.lower() != x) or (words <= 25 and phrase) or (words <= 3 and not re.search(r"[.!?…:;\"'”’»)\]。！？][ \t\n\x0b\f\r]*$", x))
+        )
+        lost += words if words and fails else 0
+    return lost
+
+
+def test_op7_verdicts(spark, data):
+    got = {}
+    for r in Q.op7_quality(spark, data).collect():
+        got.setdefault(r.doc_id, []).append((r.lost_words, r.kept))
+    want = {}
+    for r in rows_of(data, "documents"):
+        n, *_, failed = quality_brute(r["text"])
+        lost = lines_brute(r["text"])
+        want.setdefault(r["doc_id"], []).append((lost, not failed and 100 * lost <= 40 * n))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_clean_lines_with_clashing_columns(spark):
+    from lectern.llm.quality import RESULT, clean_lines, keep_clean
+
+    names = [*RESULT, "_words", "__lines", "_n", "held", "texts", "N_Words"[::-1]]
+    rows = spark.createDataFrame([(1, "A line of words here.\n" * 3, *["x"] * len(names))], ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]]))
+    got = clean_lines(rows).first()
+    assert got.n_words == 15 and got.kept is False and got["_words"] == got["__lines"] == got["held"] == "x"
+    assert keep_clean(rows).columns == rows.columns
+    words = " ".join(f"word{i}" for i in range(60)) + "."
+    kept = keep_clean(spark.createDataFrame([(1, words + "\nMenu", *["x"] * len(names))], rows.schema)).first()
+    assert kept.text == words and kept.n_words == "x"
+
+
+def test_mix_keeps_other_columns_and_repeats(spark):
+    from lectern.llm import mixing
+
+    rows = [(k % 7, "a" if k % 3 else "b", 10, 1.0, k, "mine") for k in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "id long, source string, size long, quality double, row long, target string")).collect()
+    assert sorted(r.row for r in got) == list(range(60)) and all(isinstance(r.target, float) for r in got)
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10 and max(r.copies for r in own) <= 2
+
+
+def test_ledger_written_twice(spark):
+    from lectern.llm import secrets
+    from lectern.llm.common import Scratch
+
+    docs = spark.createDataFrame([("a", "token=abcdefgh")], "path string, text string")
+    path = secrets.update_ledger(spark, docs, Scratch(spark, "t").path("ledger"))
+    secrets.scan_unseen(docs, None).write.mode("append").parquet(path)
+    assert [len(r.spans) for r in secrets.findings(docs, secrets.read_ledger(spark, path)).collect()] == [1]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lectern.llm.common import shared_root
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    assert shared_root(session("local[2]")).startswith("file://")
+    for master in ("spark://x:7077", "local-cluster[1,1,1]"):
+        with pytest.raises(ValueError):
+            shared_root(session(master))
+
+
+def test_encoder_joins_chunks(monkeypatch):
+    from lectern.llm import encoding
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aBcé ̈ß'.,!?1２漢́") for _ in range(rng.randrange(1, 6)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 40))) for _ in range(300)] + [" lead", "tail ", "a\tb", "a b", " \n x", None, ""]
+    monkeypatch.setattr(encoding, "MEMO", 50)
+    for name in (Q.BYTE_BPE, Q.WORD_BPE):
+        encoder = encoding.Encoder(tokenizer_path(name))
+        for part in (texts[:150], texts[150:], texts):
+            ids, ends = encoder.encode(pa.array(part))
+            got = [x.tolist() for x in np.split(ids, ends[:-1])]
+            assert got == [encoder.tok.encode(t or "", add_special_tokens=False).ids for t in part]
