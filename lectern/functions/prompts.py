@@ -53,3 +53,8 @@ def offline_reply(asked: Column) -> Column:
 
 def dictionary_locator(name: Column, rules: Column) -> Column:
     return F.concat(F.lit("offline-"), F.substring(F.sha2(F.concat_ws("\n", name, F.to_json(rules)), 256), 1, 16))
+
+
+def dictionary_payload(rules: Column) -> Column:
+    """Alias rules array<struct<grapheme, spoken>> as the JSON of a publishing request."""
+    return F.to_json(F.transform(rules, lambda r: F.struct(F.lit("alias").alias("type"), r["grapheme"].alias("string_to_replace"), r["spoken"].alias("alias"))))

@@ -65,3 +65,9 @@ def found_verbatim(quote: Column, script: Column) -> Column:
     q, s = visible(quote), visible(script)
     none = lambda c: F.regexp_replace(c, " ", "")
     return (q != "") & (F.contains(s, q) | F.contains(none(s), none(q)))
+
+
+def reply_text(content: Column) -> Column:
+    """The text parts of a reply's content array<struct<type, text>>, joined; other parts and null texts are left out."""
+    parts = F.filter(content, lambda p: (p["type"] == "text") & p["text"].isNotNull())
+    return F.trim(F.array_join(F.transform(parts, lambda p: p["text"]), ""))

@@ -51,12 +51,16 @@ def ordered(edits: DataFrame, key: str) -> DataFrame:
     return edits.groupBy("doc_id").agg(rows.alias("edits"))
 
 
+def whole_token(find: Column) -> Column:
+    """A regular expression for a literal between non-alphanumerics."""
+    return F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(find, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+
+
 def apply_to_chunks(chunks: DataFrame, edits: DataFrame) -> DataFrame:
     """Whole-token replacements in every chunk; a fold over a document's few edits, in the JVM."""
     met = chunks.join(ordered(edits, "find"), "doc_id", "left")
-    quoted = lambda e: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(e["find"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     plain = lambda e: F.regexp_replace(e["to"], r"([\\$])", r"\\$1")
-    done = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<rank:int,n:int,find:string,to:string>>")), F.col("text"), lambda t, e: F.regexp_replace(t, quoted(e), plain(e)))
+    done = F.aggregate(F.coalesce("edits", F.array().cast("array<struct<rank:int,n:int,find:string,to:string>>")), F.col("text"), lambda t, e: F.regexp_replace(t, whole_token(e["find"]), plain(e)))
     return met.withColumn("text", done).drop("edits")
 
 

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.citations import equation_announcement, naturalize_citations
+from ..functions.citations import naturalize_citations
 from ..functions.combinators import regex_map
 from ..functions.numbers import int_to_words, section_to_words
+from ..functions.prompts import prompt
 from ..functions.speak import normalize_all
 from ..functions.text import strip_heading_enumerator
 from ..functions.verify import verify_segment
 from ..operators import blocks as B
 from ..operators.chunks import plan_chunks
+from ..operators.engine import TABLE_SHOWN, Model, announcement, narrate_document
+from ..sources.stored import stored
 
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 CORE = ["doc_id", "pos", "block_id", "type", "chapter", "section", "page", "text", "latex", "spoken", "keep", "handling"]
@@ -46,7 +49,8 @@ def rule_stages(table_handling: str = "summarize", include_appendices: bool = Fa
     return [
         ("build_ir", B.build_ir),
         ("select", lambda b: B.select_policy(b, table_handling, include_appendices)),
-        ("math", lambda b: announce_tables(B.announce_equations(b))),
+        ("math", B.announce_equations),
+        ("figures", lambda b: number_tables(b, table_handling)),
         ("citations", _spoken(naturalize_citations)),
         ("normalize", _spoken(normalize_all)),
         ("signpost", (lambda b: b) if include_appendices else B.apply_signposts),
@@ -72,10 +76,30 @@ def heading_announcement(text, chapter, section):
     return F.coalesce(said, F.when(chapter.isNotNull(), F.concat(F.lit("Chapter "), int_to_words(chapter), F.lit(". "), title, F.lit("."))), F.concat(title, F.lit(".")))
 
 
-def announce_tables(rows: DataFrame) -> DataFrame:
-    """Kept tables that nothing else speaks get the fixed sentence, so that their raw text is never read out."""
-    silent = F.col("keep") & (F.col("type") == "table") & (F.col("handling") == "summarize") & F.col("spoken").isNull()
-    return rows.withColumn("spoken", F.when(silent, announce_nonprose(F.col("type"), F.col("latex"))).otherwise(F.col("spoken")))
+def number_tables(rows: DataFrame, table_handling: str = "summarize", summarize: Model | None = None) -> DataFrame:
+    """Kept tables are spoken by their number and a summary, or said to be left out; their text is never read.
+
+    Summaries are a model's; without one, the fixed sentence stands for them.
+    """
+    table = F.col("keep") & (F.col("type") == "table")
+    rows = rows.withColumn("_table", F.coalesce(table, F.lit(False)))
+    n = F.row_number().over(Window.partitionBy("doc_id", "_table").orderBy("pos"))
+    label = F.concat(F.lit("Table "), int_to_words(n))
+    if table_handling != "summarize":
+        said = F.concat(label, F.lit(" is omitted from the audio."))
+    elif summarize is None:
+        said = F.concat(label, F.lit(f". {TABLE_SHOWN}"))
+    else:
+        rows = summarize(rows.withColumn("prompt", F.when(F.col("_table"), prompt("table_summary", F.col("text"))))).drop("prompt")
+        rows = rows.withColumn("_said", normalize_all(F.coalesce("reply", F.lit("")))).drop("reply")
+        said = F.concat(label, F.lit(". "), F.col("_said"))
+    rows = rows.withColumn("spoken", F.when(F.col("_table"), said).otherwise(F.col("spoken")))
+    return rows.withColumn("handling", F.when(F.col("_table"), table_handling if table_handling == "summarize" else "skip").otherwise(F.col("handling"))).drop("_table", "_said")
+
+
+def speak_captions(figures: DataFrame) -> DataFrame:
+    """figures(doc_id, id, caption, ...) with spoken."""
+    return figures.withColumn("spoken", clean_caption(F.col("caption")))
 
 
 def clean_caption(caption):
@@ -86,15 +110,16 @@ def clean_caption(caption):
 
 def announce_nonprose(kind, latex):
     """Equations by number, tables by a fixed sentence, nothing else."""
-    return F.when(kind == "equation_display", equation_announcement(latex)).when(kind == "table", "A table appears here in the text.")
+    return announcement(kind, latex)
 
 
 def script_segments(rows: DataFrame) -> DataFrame:
     """(doc_id, pos, block_id, chapter, text) of what is spoken; blocks without words drop out."""
     said = F.coalesce("spoken", "text")
     line = F.when(F.col("type") == "heading", heading_announcement(said, F.col("chapter"), F.col("section"))).otherwise(said)
-    kept = rows.where("keep and handling <> 'skip'").where(F.trim(said) != "")
-    return kept.select("doc_id", "pos", "block_id", "chapter", F.concat(line, F.lit("\n\n")).alias("text"))
+    kept = F.col("keep") & (F.col("handling") != "skip") & (F.trim(said) != "")
+    # by a generator: a filter would be pushed down and copy what its columns are made of
+    return rows.select("doc_id", "pos", "block_id", "chapter", F.explode(F.when(kept, F.array(F.concat(line, F.lit("\n\n"))))).alias("text"))
 
 
 def run_rules(rows: DataFrame, limit: int = 2000, **options) -> DataFrame:
@@ -105,3 +130,27 @@ def run_rules(rows: DataFrame, limit: int = 2000, **options) -> DataFrame:
 def verified_pairs(pairs: DataFrame, check_values: bool = True) -> DataFrame:
     """pairs(source, spoken) with ok and violations."""
     return pairs.withColumn("_v", verify_segment(F.col("source"), F.col("spoken"), check_values)).select("*", "_v.*").drop("_v")
+
+
+def narration_stages(sections: DataFrame, generate: Model, look: Model | None = None, pages: DataFrame | None = None) -> list[Stage]:
+    """The second engine: structure from sections that were read off page images, then narration behind guards.
+
+    pages(doc_id, page, text) align blocks that have no page, for the look at a page's image.
+    """
+
+    def align(rows: DataFrame) -> DataFrame:
+        if pages is None:
+            return rows
+        found = B.assign_pages(rows, pages).withColumnRenamed("page", "_page")
+        return rows.join(found, ["doc_id", "pos"], "left").withColumn("page", F.coalesce("page", F.col("_page").cast("int"))).drop("_page")
+
+    def narrate(rows: DataFrame) -> DataFrame:
+        return narrate_document(rows, sections, generate, look).withColumn("handling", F.when(F.col("keep"), "speak").otherwise("skip"))
+
+    return [("build_ir", B.build_ir), ("page_align", align), ("narrate", narrate), ("signpost", B.apply_signposts)]
+
+
+def run_narration(rows: DataFrame, sections: DataFrame, generate: Model, look: Model | None = None, pages: DataFrame | None = None, limit: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Raw blocks to script chunks by the second engine, and the narrated blocks that outcome, flags and pairs are read from."""
+    told = stored(run_stages(as_blocks(rows), narration_stages(sections, generate, look, pages)), "narrated")
+    return plan_chunks(script_segments(told), limit), told

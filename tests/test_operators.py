@@ -92,7 +92,7 @@ def test_page_text(spark):
 
 def test_stage_slices(spark):
     stages = pipeline.rule_stages()
-    assert [n for n, _ in stages] == ["build_ir", "select", "math", "citations", "normalize", "signpost"]
+    assert [n for n, _ in stages] == ["build_ir", "select", "math", "figures", "citations", "normalize", "signpost"]
     rows = pipeline.as_blocks(spark.createDataFrame([(1, 0, "b1", "paragraph", None, "It was 5 [3].")], RAW))
     got = pipeline.run_stages(rows, stages, "select", "normalize").first()
     assert got.spoken == "It was five." and got.handling == "speak"
@@ -102,7 +102,7 @@ def test_tables_are_announced(spark):
     rows = [(1, 0, "b0", "paragraph", None, "Before."), (1, 1, "b1", "table", None, "| a | b |\n|-|-|\n| 1 | 2 |"), (1, 2, "b2", "paragraph", None, "After.")]
     blocks = pipeline.as_blocks(spark.createDataFrame(rows, RAW))
     said = lambda kind: [r.text.strip() for r in pipeline.script_segments(pipeline.run_stages(blocks, pipeline.rule_stages(kind))).orderBy("pos").collect()]
-    assert said("summarize") == ["Before.", "A table appears here in the text.", "After."]
+    assert said("summarize") == ["Before.", "Table one. A table is shown here.", "After."]
     assert said("skip") == ["Before.", "After."]
 
 
@@ -229,3 +229,52 @@ def test_chunks_against_a_loop(spark):
         got[r.doc_id].append([r.text, r.chapter, r.block_ids])
         assert r.chunk_id == f"chunk.{r.chunk_no}" and r.chunk_no == len(got[r.doc_id])
     assert got == {d: c for d, c in want.items() if c}
+
+
+def test_narration_is_revised_looked_up_and_held(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions.prompts import prompt, revision_prompt
+    from lectern.functions.verify import verify_segment
+    from lectern.operators import engine
+
+    source = "It rose by 2.5 units."
+    broken, good = "It rose by 2.5 units.", "It rose by two point five units."
+    asked = spark.createDataFrame([(source, broken)], "s string, b string").select(
+        prompt("narrate", F.col("s")).alias("first"), revision_prompt(F.col("s"), F.col("b"), verify_segment(F.col("s"), F.col("b"))["violations"]).alias("second")
+    )
+    first, second = asked.first()
+    told = spark.createDataFrame([(first, broken), (second, good)], "prompt string, reply string").select(cache.cache_key("narrate.", F.col("prompt")).alias("key"), "reply")
+    rows = spark.createDataFrame([(1, source, 3), (2, "Plain.", None), (3, None, 1), (4, "Unknown.", 7)], "n int, source string, page int")
+    look = lambda r: r.withColumn("reply", F.when(F.col("prompt").isNotNull(), F.lit("Unknown.")))
+    got = {r.n: r for r in engine.narrate_segments(rows, engine.from_replies(told), look).collect()}
+    assert (got[1].ok, got[1].attempts, got[1].spoken, got[1].escalated) == (True, 2, good, False)
+    assert (got[2].ok, got[2].attempts, [v.kind for v in got[2].violations]) == (False, 2, ["reply"])
+    assert got[3].ok is None and got[3].attempts == 0
+    assert (got[4].ok, got[4].attempts, got[4].escalated) == (True, 3, True)
+
+
+def test_commands(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.operators import engine
+    from lectern.plans import commands
+
+    rows = [(1, 0, "b0", "heading", None, "I. FRONT"), (1, 1, "b1", "paragraph", None, "Some plain words."), (1, 2, "b2", "table", None, "| a |\n| b |"), (1, 3, "b3", "heading", None, "II. Back"), (1, 4, "b4", "paragraph", None, "Left out.")]
+    raw = spark.createDataFrame(rows, RAW)
+    sections = spark.createDataFrame([(1, 0, "Front", "abstract"), (1, 1, "Back", "references")], "doc_id long, pos int, title string, kind string")
+    echo = lambda r: r.withColumn("reply", F.substring_index("prompt", "\n\n", -1))
+    made = commands.run(raw, sections, echo)
+    assert "".join(r.text for r in made["chunks"].orderBy("chunk_no").collect()) == "FRONT.\n\nSome plain words.\n\nA table is shown here.\n\n"
+    told = made["outcome"].first()
+    assert (told.narrated, told.announced, told.skipped, told.held, told.reason) == (1, 1, 2, 0, None)
+    assert made["flagged"].count() == 0 and made["pairs"].first().ok
+    held = commands.run(raw, sections, engine.offline)
+    assert held["flagged"].first().reason == "verifier" and held["outcome"].first().held == 1
+    docs = spark.createDataFrame([(1, "# 1.1 Title\n\nWords here.\n\n| a |\n| b |")], "doc_id long, text string")
+    assert commands.parse(docs).first().histogram == "headingx1,paragraphx1,tablex1"
+    edits = lambda scripts: scripts.select("doc_id", F.lit(0).alias("n"), F.lit("words").alias("find"), F.lit("signs").alias("replace"), F.lit("notation").alias("kind"), F.lit("r").alias("reason"))
+    chunks, report = commands.run_v1(raw, edits)
+    assert "Some plain signs." in chunks.first().text and "| words | signs | 1 | r |" in report.first().report
+    spoken = commands.synthesize(chunks)
+    assert commands.assemble(spoken, chunks.where("false").select("doc_id", "chapter", F.lit("").alias("title"))).first().chapters >= 1

@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from lectern.plans import queries as Q
+from lectern.plans import made as Q
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
