@@ -184,9 +184,3 @@ def verify_segment(source: Column, spoken: Column, check_values: bool = True) ->
     """struct(ok, violations)."""
     families = [speakable_violations(spoken), *([value_violations(source, spoken)] if check_values else []), count_violations(source, spoken), paraphrase_violations(source, spoken)]
     return let(F.concat(*families), lambda v: F.struct((F.size(v) == 0).alias("ok"), v.alias("violations")))
-
-
-def is_safe_repair(broken: Column, fixed: Column, most: int = 400) -> Column:
-    """An extraction repair may change anything but the word tokens and their order."""
-    tokens = lambda t: F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return (F.length(broken) <= most) & (F.length(fixed) <= most) & (tokens(broken) == tokens(fixed)) & (broken != fixed)

@@ -41,7 +41,12 @@ def suspicious_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def outline_rows(blocks: DataFrame) -> DataFrame:
-    """(doc_id, pos, line): headings, and runs of one class with their first 8 and last block and the rest summed up."""
+    """(doc_id, pos, line): headings, and runs of one class with their first 8 and last block and the rest summed up.
+
+    page, chapter and section are shown where blocks have them.
+    """
+    for c, kind in (("page", "int"), ("chapter", "int"), ("section", "string")):
+        blocks = blocks if c in blocks.columns else blocks.withColumn(c, F.lit(None).cast(kind))
     kind = F.when(F.col("type").isin("backmatter", "frontmatter"), classify_block(F.col("text"))).otherwise(F.col("type"))
     rows = blocks.withColumn("kind", kind).withColumn("cls", F.when(F.col("kind") == "heading", "heading").when(F.col("kind") == "reference_list", "ref").otherwise("body"))
     new = ((F.col("cls") == "heading") | ~F.col("cls").eqNullSafe(F.lag("cls").over(by_doc()))).cast("int")
@@ -52,17 +57,25 @@ def outline_rows(blocks: DataFrame) -> DataFrame:
     kinds = F.sort_array(F.collect_list(F.when(middle, F.col("kind"))).over(run))
     counted = F.array_join(F.transform(F.array_distinct(kinds), lambda t: F.concat(t, F.lit("x"), F.size(F.filter(kinds, lambda x: x == t)))), ",")
     text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    place = F.concat(F.lit("p"), F.coalesce(F.col("page").cast("string"), F.lit("?")))
+    shown = lambda name, c: F.concat(F.lit(name), F.coalesce(F.col(c).cast("string"), F.lit("-")))
     line = (
-        F.when(F.col("cls") == "heading", F.concat_ws(" | ", "block_id", F.lit("p?"), "kind", F.substring(text, 1, 120)))
+        F.when(F.col("cls") == "heading", F.concat_ws(" | ", "block_id", place, "kind", shown("ch", "chapter"), shown("sec:", "section"), F.substring(text, 1, 120)))
         .when(middle, F.concat(F.lit("  ...(+"), F.size(kinds).cast("string"), F.lit(" more blocks: "), counted, F.lit(")")))
-        .otherwise(F.concat_ws(" | ", "block_id", F.lit("p?"), "kind", F.substring(text, 1, 100)))
+        .otherwise(F.concat_ws(" | ", "block_id", place, "kind", F.substring(text, 1, 100)))
     )
     return rows.withColumn("line", line).where(~middle | (F.col("k") == HEAD + 1)).select("doc_id", "pos", "line")
 
 
-def outline(blocks: DataFrame) -> DataFrame:
+def outline(blocks: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """(doc_id, outline): lines in order, under title and author where meta(doc_id, title, author) is given."""
     rows = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return outline_rows(blocks).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("outline"))
+    made = outline_rows(blocks).groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("outline"))
+    if meta is None:
+        return made
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    head = F.concat(F.lit("TITLE: "), flat("title"), F.lit(" | AUTHOR: "), flat("author"), F.lit("\n"))
+    return made.join(meta.select("doc_id", "title", "author"), "doc_id").select("doc_id", F.concat(head, "outline").alias("outline"))
 
 
 def region_warnings(regions: DataFrame, least: float = 0.85) -> DataFrame:

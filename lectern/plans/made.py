@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, markup, notation, prompts, replies, speak, verify
@@ -175,15 +175,16 @@ def narration_kept(spark, sf_dir):
     return plain.select("doc_id", "pos", "ok", F.sha2("spoken", 256).alias("spoken"))
 
 
-_SECTIONS = "[('front', 'abstract'), ('middle', 'references'), ('end', 'body_chapter')]"
+def _with_heads(rows):
+    """Every third of a few lines as a heading."""
+    titles = {2: "I. Front", 6: "II. Middle", 9: "III. End"}
+    heads = F.element_at(F.create_map(*[F.lit(x) for kv in titles.items() for x in kv]), F.col("pos").cast("int"))
+    return rows.withColumn("type", F.when(F.col("pos").isin(*titles), "heading").otherwise(F.col("type"))).withColumn("text", F.when(F.col("pos").isin(*titles), heads).otherwise(F.col("text")))
 
 
 def _document(spark, sf_dir):
     """Lines of documents under three made headings: read, skipped, read; what comes before them is for review."""
-    rows = _passages(spark, sf_dir)
-    titles = {2: "I. Front", 6: "II. Middle", 9: "III. End"}
-    heads = F.element_at(F.create_map(*[F.lit(x) for kv in titles.items() for x in kv]), F.col("pos").cast("int"))
-    rows = rows.withColumn("type", F.when(F.col("pos").isin(*titles), "heading").otherwise(F.col("type"))).withColumn("text", F.when(F.col("pos").isin(*titles), heads).otherwise(F.col("text")))
+    rows = _with_heads(_passages(spark, sf_dir))
     made = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(t).alias("title"), F.lit(k).alias("kind")) for i, (t, k) in enumerate((("Front", "abstract"), ("Middle", "References"), ("END", "body_chapter")))])
     sections = rows.select("doc_id").distinct().select("doc_id", F.inline(made))
     return engine.narrate_document(rows, sections, engine.offline, _hopeless)
@@ -569,3 +570,176 @@ def structure_mapped(spark, sf_dir):
     regions = table(spark, sf_dir, "documents").select("doc_id", F.inline(made))
     warnings = structure.region_warnings(regions).groupBy("doc_id").agg(F.count(F.lit(1)).alias("warnings"))
     return reports.structure_map(regions, B.effective_decision(F.col("kind"), False)).join(warnings, "doc_id")
+
+
+@query(f"""WITH {LINES}, b AS (SELECT doc_id, pos, block_id, pos IN (2, 6, 9) AS head, CASE WHEN pos % 5 = 4 THEN 'table' ELSE 'paragraph' END AS type, CASE WHEN pos % 2 = 0 THEN CAST(pos + 1 AS VARCHAR) ELSE '?' END AS page,
+  trim(regexp_replace(CASE pos WHEN 2 THEN 'I. Front' WHEN 6 THEN 'II. Middle' WHEN 9 THEN 'III. End' ELSE text END, '\\s+', ' ', 'g')) AS t FROM lines),
+n AS (SELECT *, sum(CAST(head OR coalesce(lag_head, true) AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(head) OVER (PARTITION BY doc_id ORDER BY pos) AS lag_head FROM b)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos) AS k, count(*) OVER (PARTITION BY doc_id, run) AS size FROM n),
+m AS (SELECT *, size > 10 AND k > 8 AND k < size AS middle FROM k),
+c AS (SELECT *, count(*) FILTER (middle) OVER w AS more, count(*) FILTER (middle AND type = 'paragraph') OVER w AS np, count(*) FILTER (middle AND type = 'table') OVER w AS nt FROM m WINDOW w AS (PARTITION BY doc_id, run)),
+l AS (SELECT doc_id, pos, CASE WHEN head THEN block_id || ' | p' || page || ' | heading | ch- | sec:- | ' || left(t, 120) WHEN middle THEN '  ...(+' || more || ' more blocks: ' || concat_ws(',', CASE WHEN np > 0 THEN 'paragraphx' || np END, CASE WHEN nt > 0 THEN 'tablex' || nt END) || ')'
+  ELSE block_id || ' | p' || page || ' | ' || type || ' | ' || left(t, 100) END AS line FROM c WHERE NOT middle OR k = 9)
+SELECT doc_id, 'TITLE: a b | AUTHOR: d' || doc_id || chr(10) || string_agg(line, chr(10) ORDER BY pos) AS outline FROM l GROUP BY 1""")
+def outlines(spark, sf_dir):
+    """The outline that a labeller reads, with made headings."""
+    rows = _with_heads(_passages(spark, sf_dir))
+    meta = rows.select("doc_id").distinct().select("doc_id", F.lit("a  b").alias("title"), text_of("d", F.col("doc_id")).alias("author"))
+    return structure.outline(rows, meta)
+
+
+def _blocks_of(spark, sf_dir, *rows):
+    """A few blocks for each part: (type, text) with {n} for its name, as documents."""
+    name = F.col("p_name")
+    made = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f"b{i}").alias("block_id"), F.lit(kind).alias("type"), F.replace(F.lit(text), F.lit("{n}"), name).alias("text")) for i, (kind, text) in enumerate(rows)])
+    return pipeline.as_blocks(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.inline(made)))
+
+
+def _rows_of(*rows) -> str:
+    """SQL of what is left of them: (pos, type, text)."""
+    values = ", ".join(f"({pos}, {sql_text(kind)}, {sql_text(text)})" for pos, kind, text in rows)
+    return f"SELECT p_partkey AS doc_id, pos, type, replace(t, '{{n}}', p_name) AS text FROM part, (VALUES {values}) AS v(pos, type, t)"
+
+
+_GOING_ON = [
+    ("paragraph", "The plate of en-"), ("paragraph", "ergy went on"), ("table", "| a |"), ("paragraph", "and {n} ended."), ("paragraph", "A new {n} with a well-"), ("paragraph", "known end of"),
+    ("figure_caption", "Figure 1: x"), ("paragraph", "Upper case starts anew"), ("heading", "1.1 Cut"), ("paragraph", "off here."),
+]
+
+
+@query(_rows_of((0, "paragraph", "The plate of energy went on and {n} ended."), (2, "table", "| a |"), (4, "paragraph", "A new {n} with a well-known end of"), (6, "figure_caption", "Figure 1: x"), (7, "paragraph", "Upper case starts anew"), (8, "heading", "1.1 Cut"), (9, "paragraph", "off here.")))
+def continuations_merged(spark, sf_dir):
+    return B.merge_continuations(_blocks_of(spark, sf_dir, *_GOING_ON)).select("doc_id", "pos", "type", "text")
+
+
+_RAW = [
+    ("paragraph", "CHAPTER 1"), ("paragraph", "and the wrapped rest of {n}"), ("paragraph", "1.1 Methods"), ("paragraph", "Running head"), ("paragraph", "It is <b>bold</b> at m<sup>2</sup> for an eﬃcient"), ("paragraph", "{n} that"),
+    ("paragraph", "Running head"), ("paragraph", "17"), ("paragraph", "goes on."), ("paragraph", "Running head"), ("paragraph", "References"), ("paragraph", "[1] Someone"), ("paragraph", "CHAPTER 2"), ("paragraph", "More {n}."),
+]
+
+
+@query(_rows_of((0, "heading", "CHAPTER 1 and the wrapped rest of {n}"), (2, "heading", "1.1 Methods"), (4, "paragraph", "It is bold at m squared for an efficient {n} that goes on."), (10, "backmatter", "References"), (11, "backmatter", "[1] Someone"), (12, "heading", "CHAPTER 2"), (13, "paragraph", "More {n}.")))
+def documents_built(spark, sf_dir):
+    """Raw blocks through cleaning, running lines, wrapped titles, continuations and references."""
+    return B.build_ir(_blocks_of(spark, sf_dir, *_RAW)).select("doc_id", "pos", "type", "text")
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Section ' || {sql_words('(o_orderkey % 7 + 2)')} || ' point ' || {sql_words('(o_orderkey % 88 + 12)')} || ', Title.' WHEN 1 THEN 'Chapter ' || {sql_words('(o_orderkey % 7 + 2)')} || '. Title.' ELSE 'Title.' END AS said FROM orders""")
+def headings_announced(spark, sf_dir):
+    key, a, n, _ = _numbers()
+    chapter, section = F.when(key % 3 < 2, n.cast("int")), F.when(key % 3 == 0, text_of(n, ".", a))
+    return table(spark, sf_dir, "orders").select("o_orderkey", pipeline.heading_announcement(F.lit("IV.2 Title"), chapter, section).alias("said"))
+
+
+@query("""SELECT p_partkey AS doc_id, 'FRONT' || '.' || chr(10) || chr(10) || 'The W of ' || p_name || ' rose.' || chr(10) || chr(10) || 'Equation two point one.' || chr(10) || chr(10) || 'Table one. A table is shown here.' || chr(10) || chr(10)
+|| 'See Appendix A and ' || p_name || '. ' || 'A note for the listener: this thesis refers to appendix material, which is not included in the audiobook. You can find it in the full written text.' || chr(10) || chr(10) || 'Again Appendix B.' || chr(10) || chr(10) AS script FROM part""")
+def scripts_assembled(spark, sf_dir):
+    """The rule stages after building: policy, equations, tables, references, numbers, signposts, announcements."""
+    rows = _blocks_of(spark, sf_dir, ("heading", "I. FRONT"), ("paragraph", "The W of {n} rose [3]."), ("equation_display", r"a = b \tag{2.1}"), ("equation_display", "c = d"), ("table", "| {n} |"), ("paragraph", "See Appendix A and {n}."), ("paragraph", "Again Appendix B."), ("footnote", "not read"), ("backmatter", "Appendix"))
+    rows = rows.withColumn("chapter", F.when(F.col("pos") > 0, F.lit(1))).withColumn("latex", F.when(F.col("type") == "equation_display", F.col("text")))
+    spoken = pipeline.run_stages(rows, pipeline.rule_stages(), "select", "signpost")
+    chunks = pipeline.script_segments(spoken).withColumnRenamed("pos", "chunk_no")
+    return rounds.scripts(chunks)
+
+
+_DECIDED = {
+    "body_chapter": "read", "Abstract ": "read", "dedication": "read", "table_of_contents": "skip", "references": "skip", "appendix": "skip", "unheard": "review",
+}
+_EFFECTIVE = {"chapter_body": "include", "abstract": "include", "appendix": "include", "glossary": "include", "unknown": "review", "title_page": "skip", "bibliography": "skip"}
+
+
+def _nth(values, by: str) -> str:
+    return f"[{', '.join(map(sql_text, values))}][{by} % {len(values)} + 1]"
+
+
+@query(f"SELECT p_partkey, {_nth(_DECIDED.values(), 'p_partkey')} AS section, {_nth(_EFFECTIVE.values(), 'p_partkey')} AS region FROM part")
+def kinds_decided(spark, sf_dir):
+    """What becomes of a section kind, and of a region kind with appendices."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", B.section_decision(pick(_DECIDED)).alias("section"), B.effective_decision(pick(_EFFECTIVE), True).alias("region"))
+
+
+_RETYPED = [  # region, type, text, new type
+    ("chapter_body", "backmatter", "CHAPTER 2", "heading"), ("abstract", "frontmatter", "Words.", "paragraph"), ("title_page", "paragraph", "Words.", "frontmatter"), ("bibliography", "paragraph", "Words.", "reference_list"),
+    ("appendix", "heading", "A", "backmatter"), ("footnotes", "paragraph", "x", "footnote"), ("unknown", "paragraph", "x", "paragraph"), ("chapter_body", "table", "| x |", "table"),
+]
+
+
+@query(f"SELECT p_partkey AS doc_id, {_nth([r[3] for r in _RETYPED], 'p_partkey')} AS type, CAST(p_size AS INT) AS chapter FROM part")
+def regions_retyped(spark, sf_dir):
+    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in _RETYPED]), (F.col("p_partkey") % len(_RETYPED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), pick(0).alias("region_kind"), pick(1).alias("type"), pick(2).alias("text"), F.col("p_size").cast("int").alias("region_chapter"), F.lit(99).alias("chapter"))
+    return B.retype_regions(rows).select("doc_id", "type", "chapter")
+
+
+@query("""SELECT p_partkey AS doc_id, 'b0' AS block_id, 'section heading has no body text: ''1.1 ' || p_name || '''' AS reason FROM part UNION ALL SELECT p_partkey, 'b3', 'section heading has no body text: ''1.3 End''' FROM part""")
+def sections_empty(spark, sf_dir):
+    rows = _blocks_of(spark, sf_dir, ("heading", "1.1 {n}"), ("heading", "1.2 Full"), ("paragraph", "Words."), ("heading", "1.3 End")).withColumn("section", F.when(F.col("type") == "heading", F.substring("text", 1, 3)))
+    return B.empty_section_warnings(rows).select("doc_id", "block_id", "reason")
+
+
+@query("""WITH c AS (SELECT conv_id AS doc_id, turn, CASE WHEN role = 'user' THEN CAST(turn AS INT) END AS chapter FROM conversations), f AS (SELECT *, first_value(chapter IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first FROM c),
+k AS (SELECT * FROM f WHERE chapter IS NULL OR chapter = first) SELECT doc_id, turn AS chunk_no, 'chunk.' || lag(turn) OVER w AS prev_id, 'chunk.' || lead(turn) OVER w AS next_id FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY turn)""")
+def chunks_previewed(spark, sf_dir):
+    rows = spoken_turns(spark, sf_dir).withColumn("prev_id", F.lit("")).withColumn("next_id", F.lit(""))
+    return C.preview_chunks(rows).select("doc_id", "chunk_no", "prev_id", "next_id")
+
+
+_GUARDED = [  # broken, fixed, faithful, safe, copyedit
+    ("<sup>0</sup>.1 mm", "0.1 mm", True, False, False), ("foo , bar", "foo, bar", True, True, True), ("five cells", "nine cells", False, False, False), ("the responce was", "the response was", True, False, True),
+    ("did not work", "did work", True, False, False), ("same", "same", False, False, False), ("rates increased", "rates decreased", True, False, False),
+]
+
+
+@query(f"SELECT p_partkey, [{', '.join(str(r[2]).lower() for r in _GUARDED)}][p_partkey % {len(_GUARDED)} + 1] AS faithful, [{', '.join(str(r[3]).lower() for r in _GUARDED)}][p_partkey % {len(_GUARDED)} + 1] AS safe, [{', '.join(str(r[4]).lower() for r in _GUARDED)}][p_partkey % {len(_GUARDED)} + 1] AS copyedit FROM part")
+def edits_guarded(spark, sf_dir):
+    """Three guards on edits that keep or break something."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in _GUARDED]), (F.col("p_partkey") % len(_GUARDED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", pick(0).alias("a"), pick(1).alias("b"))
+    return rows.select("p_partkey", E.is_faithful_artifact(F.col("a"), F.col("b")).alias("faithful"), E.is_safe_repair(F.col("a"), F.col("b")).alias("safe"), verify.copyedit_guard(F.col("a"), F.col("b")).alias("copyedit"))
+
+
+_TASKS = " || chr(0) || ".join(f"{sql_text(text)} || chr(10) || chr(10) || 'd' || doc_id" for _, text in sorted(prompts.TASKS.items()))
+_PAGES = 'Pages {a} to {b} follow. List the top-level divisions that begin on them. Reply with JSON {"sections": [{"number": ..., "title": ..., "start_page": ..., "kind": ...}]} only.'
+
+
+@query(f"""SELECT doc_id, sha256({_TASKS}) AS tasks, replace(replace({sql_text(_PAGES)}, '{{a}}', '1'), '{{b}}', CAST(n_chars % 50 + 1 AS VARCHAR)) AS pages,
+{sql_text(prompts.TASKS['revise'])} || chr(10) || chr(10) || '- values: v' || doc_id || chr(10) || '- polarity: p' || chr(10) || chr(10) || 'before' || chr(10) || chr(10) || 'source' AS revised,
+'Choose for each author mention one of: earlier studies, other researchers, prior studies, researchers, several studies, the authors. Reply with a JSON object from mention to phrase only.' || chr(10) || chr(10) || '["Lee et al.","d' || doc_id || '"]' AS generic FROM documents""")
+def prompts_built(spark, sf_dir):
+    """Every prompt: the tasks, page batches, revisions and author mentions."""
+    part = text_of("d", F.col("doc_id"))
+    tasks = F.concat_ws("\0", *[prompts.prompt(t, part) for t in sorted(prompts.TASKS)])
+    broken = F.array(F.struct(F.lit("values").alias("kind"), text_of("v", F.col("doc_id")).alias("detail")), F.struct(F.lit("polarity").alias("kind"), F.lit("p").alias("detail")))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(tasks, 256).alias("tasks"), prompts.structure_prompt(F.lit(1), (F.col("n_chars") % 50 + 1).cast("int")).alias("pages"),
+        prompts.revision_prompt(F.lit("source"), F.lit("before"), broken).alias("revised"), prompts.genericize_prompt(F.array(F.lit("Lee et al."), part)).alias("generic"),
+    )
+
+
+@query("""SELECT p_partkey, [2, 1][p_size % 2 + 1] = 2 AS kept, 'several studies show ' || p_name AS folded, 'researchers' AS phrase, p_name || ' and others' AS others FROM part""")
+def mentions_generic(spark, sf_dir):
+    """Runs of generic phrases, replies to phrases, and what is left of mentions."""
+    name = F.col("p_name")
+    reply = text_of('```json\n{"Lee et al.": " Researchers ", "x": "anything ', name, '"}\n```')
+    found = citations.parse_genericization(reply)
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", (F.col("p_size") % 2 == 0).alias("kept"), citations.collapse_citation_run(text_of("prior studies, several studies and Zhu show ", name)).alias("folded"),
+        F.when(F.size(found) == 1, found["Lee et al."]).alias("phrase"), citations.expand_et_al(text_of(name, " et al.")).alias("others"),
+    )
+
+
+@query("SELECT doc_id, 'reply.' || sha256(coalesce(text, '')) AS key, n_chars % 3 <> 0 AS hit FROM documents")
+def replies_cached(spark, sf_dir):
+    """Replies put twice into a new cache and asked for again; empty ones aren't kept."""
+    import uuid
+
+    from ..sources import cache
+    from ..sources.stored import root_of
+
+    path = f"{root_of(spark)}/cache-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", cache.cache_key("reply.", F.coalesce("text", F.lit(""))).alias("key"))
+    told = rows.select("key", F.when(F.min(F.col("n_chars") % 3).over(Window.partitionBy("key")) > 0, F.lit("x")).otherwise("").cast("binary").alias("value"))
+    for _ in range(2):
+        cache.put(spark, told, path)
+    return cache.get(rows, cache.read(spark, path)).select("doc_id", "key", F.col("value").isNotNull().alias("hit"))

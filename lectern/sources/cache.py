@@ -23,8 +23,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get(keys: DataFrame, cache: DataFrame) -> DataFrame:
-    """keys(key, ...) with their cached value, or null."""
-    return keys.join(cache.select("key", "value"), "key", "left")
+    """keys(key, ...) with their cached value, or null. A key that two writers have put at a time counts once."""
+    return keys.join(cache.select("key", "value").dropDuplicates(["key"]), "key", "left")
 
 
 def put(spark: SparkSession, rows: DataFrame, path: str) -> None:

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as written to spark.checkpoint.dir and read back. Where that is unset, one machine's own folder will do."""
-    spark = df.sparkSession
+def root_of(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, one machine's own folder will do."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.gettempdir() + "/lectern-shared"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as written to the shared folder and read back."""
+    path = f"{root_of(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
