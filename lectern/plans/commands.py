@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.audio import joined_wavs, request_key, seconds_of, silent_wav, wav_duration
+from ..functions.prompts import dictionary_locator
 from ..operators import blocks as B
 from ..operators import chunks as C
 from ..operators import edits as E
 from ..operators import engine, reports, rounds
+from ..sources import cache
 from ..sources.documents import markdown_blocks
 from ..sources.stored import stored
 from . import pipeline
@@ -49,13 +51,33 @@ def run(rows: DataFrame, sections: DataFrame, generate: engine.Model, look: engi
     return {"chunks": chunks, "outcome": engine.outcome(told), "flagged": engine.flagged(told), "pairs": engine.pairs(told)}
 
 
-def synthesize(chunks: DataFrame) -> DataFrame:
-    """chunks with the key of their speech request, audio (silence of the text's length) and seconds."""
-    rows = chunks.withColumn("key", request_key(text=F.col("text"), previous=F.col("prev_id"), next=F.col("next_id")))
-    rows = rows.withColumn("wav", silent_wav(seconds_of(F.col("text"))))
+def synthesize(chunks: DataFrame, store: str | None = None, version: str = "0", **voice: str) -> DataFrame:
+    """chunks(doc_id, chunk_no, text, ...) with key, hit, audio (silence of the text's length) and seconds.
+
+    A request is a text with its neighbours' texts, the voice's settings, the version of the pronunciation dictionary
+    and the backend. Audio that the cache table at `store` has is taken from there; the rest is made and put there.
+    """
+    w = Window.partitionBy("doc_id").orderBy("chunk_no")
+    near = {"previous_text": F.lag("text").over(w), "next_text": F.lead("text").over(w)}
+    fixed = {k: F.lit(v) for k, v in {"backend": "offline", "dict_version": version, **voice}.items()}
+    rows = chunks.withColumn("key", F.concat(F.lit("tts."), request_key(text=F.col("text"), **near, **fixed)))
+    made = silent_wav(seconds_of(F.col("text")))
+    if store is None:
+        rows = rows.withColumn("hit", F.lit(False)).withColumn("wav", made)
+    else:
+        spark = chunks.sparkSession
+        rows = stored(cache.get(rows, cache.read(spark, store)).withColumn("hit", F.col("value").isNotNull()).withColumn("wav", F.coalesce("value", made)).drop("value"), "speech")
+        cache.put(spark, rows.select("key", F.col("wav").alias("value")), store)
     return rows.withColumn("seconds", wav_duration(F.col("wav")))
 
 
+def publish(rules: DataFrame, name: str) -> DataFrame:
+    """(name, locator) of a pronunciation dictionary of rules(grapheme, spoken), by the offline publisher; empty without rules."""
+    listed = F.sort_array(F.collect_list(F.struct("grapheme", "spoken")))
+    made = rules.agg(listed.alias("rules")).where(F.size("rules") > 0)
+    return made.select(F.lit(name).alias("name"), dictionary_locator(F.lit(name), F.col("rules")).alias("locator"))
+
+
 def assemble(spoken: DataFrame, titles: DataFrame) -> DataFrame:
     """(doc_id, audio, chapters, seconds, metadata): a document's audio in order, and its chapters' metadata.
 

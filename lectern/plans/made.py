@@ -743,3 +743,34 @@ def replies_cached(spark, sf_dir):
     for _ in range(2):
         cache.put(spark, told, path)
     return cache.get(rows, cache.read(spark, path)).select("doc_id", "key", F.col("value").isNotNull().alias("hit"))
+
+
+_SCRIPT = [
+    "'An audiobook rendering of ' || p_name || ', by Ann Lee.'", "'<break time=\"0.8s\"/>'", "'Chapter two. Front.'", "'<break time=\"0.8s\"/>'", "'It was five.'", "'A shown ' || p_name || '.'", "'A last figure.'",
+]
+
+
+@query(f"""SELECT p_partkey AS doc_id, {" || chr(10) || chr(10) || ".join(_SCRIPT)} || chr(10) || chr(10) || 'This concludes ' || p_name || '.' AS script FROM part""")
+def scripts_with_figures(spark, sf_dir):
+    """Opening, pauses, headings, prose, figures at their first reference or last, and closing."""
+    rows = B.select_policy(_blocks_of(spark, sf_dir, ("heading", "I. Front"), ("paragraph", "It was five.")).withColumn("chapter", F.lit(2)))
+    parts = table(spark, sf_dir, "part")
+    meta = parts.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), F.lit("Ann Lee").alias("author"))
+    shown = F.array(F.struct(F.lit(0).alias("n"), F.lit("none").alias("ref"), F.lit("A last figure.").alias("spoken")), F.struct(F.lit(1).alias("n"), F.lit("b1").alias("ref"), text_of("A shown ", F.col("p_name"), ".").alias("spoken")))
+    script = pipeline.assemble_script(rows, meta, parts.select(F.col("p_partkey").alias("doc_id"), F.inline(shown)), pipeline.supports_breaks("multilingual_v2"))
+    return rounds.scripts(script.withColumnRenamed("pos", "chunk_no"))
+
+
+@query("SELECT conv_id AS doc_id, count(*) AS chunks, count(*) AS hits, count(DISTINCT turn) AS keys FROM conversations GROUP BY 1")
+def speech_cached(spark, sf_dir):
+    """Speech for every turn asked for twice: the second time all of it comes from the cache."""
+    import uuid
+
+    from ..sources.stored import root_of
+    from . import commands
+
+    path = f"{root_of(spark)}/speech-{uuid.uuid4().hex}"
+    turns = spoken_turns(spark, sf_dir)
+    commands.synthesize(turns, path, voice_id="v")
+    again = commands.synthesize(turns.withColumn("text", F.col("text")), path, voice_id="v")
+    return again.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("hit").alias("hits"), F.count_distinct("chunk_no").alias("keys"))

@@ -19,6 +19,8 @@ from ..operators.chunks import plan_chunks
 from ..operators.engine import TABLE_SHOWN, Model, announcement, narrate_document
 from ..sources.stored import stored
 
+# What stands between segments, and a pause.
+GAP, BREAK = "\n\n", '<break time="0.8s"/>'
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
 CORE = ["doc_id", "pos", "block_id", "type", "chapter", "section", "page", "text", "latex", "spoken", "keep", "handling"]
 _TYPES = {"chapter": "int", "section": "string", "page": "int", "latex": "string", "spoken": "string", "keep": "boolean", "handling": "string"}
@@ -122,6 +124,38 @@ def script_segments(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "block_id", "chapter", F.explode(F.when(kept, F.array(F.concat(line, F.lit("\n\n"))))).alias("text"))
 
 
+def supports_breaks(model: str) -> bool:
+    """Whether a speech model honours pause tags."""
+    return "v3" not in model
+
+
+def assemble_script(rows: DataFrame, meta: DataFrame, figures: DataFrame | None = None, breaks: bool = True) -> DataFrame:
+    """(doc_id, pos, block_id, chapter, text): the whole script of rows, between an opening and a closing sentence.
+
+    meta(doc_id, title, author) has every document. figures(doc_id, n, ref, spoken) follow the block that refers to them
+    first, those without such a block come last. With breaks, pauses follow the opening and headings.
+    """
+    parts = script_segments(rows).select("doc_id", F.lit(1).alias("part"), "pos", F.lit(0).alias("sub"), F.lit(0).alias("n"), "block_id", "chapter", "text")
+    no_block, no_chapter = F.lit(None).cast("string").alias("block_id"), F.lit(None).cast("int").alias("chapter")
+    place = lambda part, sub: [F.lit(part).alias("part"), F.lit(0).alias("pos"), F.lit(sub).alias("sub"), F.lit(0).alias("n"), no_block, no_chapter]
+    by = F.when(F.coalesce(F.col("author"), F.lit("")) != "", F.concat(F.lit(", by "), F.col("author"))).otherwise("")
+    opening = normalize_all(F.concat(F.lit("An audiobook rendering of "), F.col("title"), by, F.lit(".")))
+    script = parts.unionByName(meta.select("doc_id", *place(0, 0), F.concat(opening, F.lit(GAP)).alias("text")))
+    script = script.unionByName(meta.select("doc_id", *place(3, 0), normalize_all(F.concat(F.lit("This concludes "), F.col("title"), F.lit("."))).alias("text")))
+    if breaks:
+        script = script.unionByName(meta.select("doc_id", *place(0, 1), F.lit(BREAK + GAP).alias("text")))
+        heads = rows.where("type = 'heading'").select("doc_id", "pos")
+        script = script.unionByName(parts.join(heads, ["doc_id", "pos"]).withColumn("sub", F.lit(1)).withColumn("block_id", F.lit(None).cast("string")).withColumn("text", F.lit(BREAK + GAP)))
+    if figures is not None:
+        shown = figures.where(F.coalesce(F.col("spoken"), F.lit("")) != "").select("doc_id", F.col("n").alias("_n"), "ref", F.concat("spoken", F.lit(GAP)).alias("_text"))
+        there = parts.select("doc_id", F.col("block_id").alias("ref"), "pos", "chapter")
+        met = shown.join(there, ["doc_id", "ref"], "left")
+        placed = F.col("pos").isNotNull()
+        script = script.unionByName(met.select("doc_id", F.when(placed, 1).otherwise(2).alias("part"), F.coalesce("pos", F.lit(0)).alias("pos"), F.lit(2).alias("sub"), F.col("_n").alias("n"), no_block, "chapter", F.col("_text").alias("text")))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "pos", "sub", "n"))
+    return script.withColumn("_k", order).select("doc_id", F.col("_k").alias("pos"), "block_id", "chapter", "text")
+
+
 def run_rules(rows: DataFrame, limit: int = 2000, **options) -> DataFrame:
     """Raw blocks to script chunks."""
     return plan_chunks(script_segments(run_stages(as_blocks(rows), rule_stages(**options))), limit)
