@@ -188,6 +188,19 @@ def apply_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     return blocks.join(first.select("doc_id", "pos", F.col("r.kind").alias("region_kind"), "r.region_chapter"), ["doc_id", "pos"], "left")
 
 
+def disjoint_regions(regions: DataFrame) -> DataFrame:
+    """regions(doc_id, n, first_pos, last_pos, kind, chapter) by first position, without those that begin in one that stays; a fold over a document's few."""
+    entry = F.struct("first_pos", "n", "last_pos", "kind", "chapter")
+    rows = regions.where("first_pos <= last_pos").groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("rows"))
+    start = F.struct(F.lit(-1).cast("int").alias("upto"), F.filter("rows", lambda r: F.lit(False)).alias("kept"))
+
+    def step(a: Column, r: Column) -> Column:
+        free = r["first_pos"] > a["upto"]
+        return F.struct(F.when(free, r["last_pos"]).otherwise(a["upto"]).cast("int").alias("upto"), F.when(free, F.concat(a["kept"], F.array(r))).otherwise(a["kept"]).alias("kept"))
+
+    return rows.select("doc_id", F.inline(F.aggregate("rows", start, step, lambda a: a["kept"])))
+
+
 def effective_decision(kind: Column, include_appendices: bool) -> Column:
     """What a region's kind and the profile make of it."""
     return F.when(kind.isin(SPOKEN_REGIONS), "include").when(kind.isin(BACK_REGIONS), "include" if include_appendices else "skip").when(kind == "unknown", "review").otherwise("skip")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -774,3 +776,25 @@ def speech_cached(spark, sf_dir):
     commands.synthesize(turns, path, voice_id="v")
     again = commands.synthesize(turns.withColumn("text", F.col("text")), path, voice_id="v")
     return again.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_if("hit").alias("hits"), F.count_distinct("chunk_no").alias("keys"))
+
+
+@query("""SELECT p_partkey AS doc_id, 'Chapter one. One.' || chr(10) || chr(10) || 'The water use (W U) of ' || p_name || ' rose as researchers say.' || chr(10) || chr(10) || 'Then W U fell.' || chr(10) || chr(10) || 'Table one. It shows ' || {words} || '.' || chr(10) || chr(10) AS script FROM part""".format(words=sql_words("p_size")))
+def scripts_by_models(spark, sf_dir):
+    """All stages of the first engine, each with a model that proposes something, and regions that are skipped."""
+    from . import stages
+
+    rows = _blocks_of(
+        spark, sf_dir, ("paragraph", "Copyright page"), ("paragraph", "I. One"), ("paragraph", "The WU of {n} rose as Kim et al. say [3]."), ("paragraph", "Then WU fell."), ("paragraph", "import os\nx = f(y)"), ("table", "| {n} |\n| b |"), ("paragraph", "Left out."),
+    )
+    rows = rows.withColumn("type", F.when(F.col("pos") == 1, "heading").otherwise(F.col("type")))
+    size = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), "p_size")
+    says = lambda text: lambda asked: asked.withColumn("reply", F.lit(text))
+    region = lambda kind, first, last, chapter: {"kind": kind, "decision": "include", "first_block_id": first, "last_block_id": last, "chapter": chapter}
+    found = [region("title_page", "b0", "b0", None), region("chapter_body", "b1", "b5", 1), region("appendix", "b4", "b6", None), region("index", "b6", "b6", None)]
+    models = {
+        "structurer": says(json.dumps({"labels": [{"id": "b4", "kind": "code"}]})), "cartographer": says("```json\n" + json.dumps({"regions": found}) + "\n```"),
+        "curate": says(json.dumps({"acronyms": [{"acronym": "WU", "first_use": "water use", "short_form": "W U"}], "terms": [], "notation": [], "dehyphenations": [], "notes": []})),
+        "citations": says('{"Kim et al.": "researchers"}'), "figures": lambda asked: asked.join(size, "doc_id").withColumn("reply", text_of("It shows ", F.col("p_size"), ".")).drop("p_size"),
+    }
+    spoken = pipeline.run_stages(rows, stages.default_stages(models), "structurer")
+    return rounds.scripts(pipeline.script_segments(spoken).withColumnRenamed("pos", "chunk_no"))
