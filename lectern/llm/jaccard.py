@@ -47,6 +47,8 @@ SHARED, BAND = 3, 1.1
 MEMBERS, MEMBER_TOKENS, VISITORS, VISITOR_TOKENS = 1024, 1 << 20, 4096, 1 << 22
 #: Rows of a batch, and bytes of text that are cut into tokens at once.
 ROWS, SLICE = 2000, 2_000_000
+#: Rows of 16 bytes that may be broadcast; larger tables are joined by a shuffle.
+SENT_ROWS = 500_000
 #: Bits of a post's size field.
 SIZE_BITS = 24
 _A, _B, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -355,6 +357,11 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataF
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def sent_if_small(rows: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint, if it has SENT_ROWS or fewer."""
+    return F.broadcast(rows) if rows.count() <= SENT_ROWS else rows
+
+
 def band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(BAND))
 
@@ -380,6 +387,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, w
     scratch.drop("posts")
     blocks = F.ceil(F.greatest(F.col("k") / MEMBERS, F.col("tokens") / MEMBER_TOKENS))
     sizes = grouped.select("sid", "n", "grp").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens")).select("grp", blocks.alias("blocks")).where("blocks > 1")
+    sizes = sent_if_small(scratch.save(sizes, "sizes"))
     dealt = F.xxhash64("grp", F.pmod(F.xxhash64("sid"), F.col("blocks")))
     grouped = scratch.save(grouped.join(sizes, "grp", "left").select("t", "sid", "n", F.when(F.col("blocks").isNotNull(), dealt).otherwise(F.col("grp")).alias("grp")), "grouped")
     scratch.drop("grouped0")
@@ -394,9 +402,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, w
     queries = scratch.save(queries.select("sid", "n", F.col("g").alias("grp")).distinct(), "queries")
 
     # and cells of bounded queries, each with all members of the group
-    cells = queries.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / VISITORS, F.sum("n") / VISITOR_TOKENS)).alias("cells"))
+    cells = scratch.save(queries.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / VISITORS, F.sum("n") / VISITOR_TOKENS)).alias("cells")), "cells")
+    # groups of several cells (or blocks, above) are few, so mostly they can be sent to all tasks, and a large group's rows stay where they are
+    crowded = sent_if_small(cells.where("cells > 1"))
     members = grouped.select("sid", "grp").distinct().join(cells, "grp").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
-    visitors = queries.join(cells, "grp").withColumn("c", F.pmod(F.xxhash64("sid"), F.col("cells")))
+    visitors = queries.join(crowded, "grp", "left").withColumn("c", F.pmod(F.xxhash64("sid"), F.coalesce("cells", F.lit(1))))
     place = F.struct(F.xxhash64("grp", "c").alias("cell"), "role")
     visits = visitors.select("sid", "grp", "c", F.lit(1).alias("role")).unionByName(members.select("sid", "grp", "c", F.lit(0).alias("role")))
     visits = visits.groupBy("sid").agg(F.collect_list(place).alias("visits"))
@@ -409,7 +419,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, w
     brought = texts.where("text is not null").join(need.hint("shuffle_hash"), one).select("text", "key", "copies", "visits")
     placed = brought.mapInArrow(_visits(words), VISITS).repartition("cell").sortWithinPartitions("cell", "role", "key")
     links = scratch.save(placed.mapInArrow(_verify(percent), LINKS), "links", rows=ROWS)
-    scratch.drop("grouped", "queries")
+    scratch.drop("grouped", "queries", "cells", "sizes")
 
     roots = components(spark, links.select("a", "b"), scratch)
     counted = links.where("links > 0").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "key")
