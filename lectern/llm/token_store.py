@@ -31,7 +31,7 @@ from .encoding import Encoder, sliced
 
 END = 0
 SHARD_TOKENS = 2_000_000
-PAIRS, MIN_COUNT, HASH_BITS = 4096, 16, 21
+PAIRS, MIN_COUNT, HASH_BITS = 4096, 16, 19
 SHARDS = "part int, shard_no int, doc_ids array<long>, lengths array<int>, tokens long, file binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("shard_no", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.int64()), ("file", pa.binary())])
 
@@ -50,19 +50,28 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int) -> bytes:
             at = np.flatnonzero(held & ((a >= recent) | (b >= recent)))
             a, b, held = a[at], b[at], slice(None)
         pairs = (a.astype(np.uint64) << np.uint64(32)) | b
-        slot = ((pairs ^ (pairs >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).astype(np.int32)
-        counts = np.bincount(slot[held], minlength=1 << HASH_BITS)
+        bits = min(HASH_BITS, max(10, len(pairs).bit_length()))
+        slot = ((pairs ^ (pairs >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
+        counts = np.bincount(slot[held], minlength=1 << bits)
         some = np.flatnonzero(counts >= MIN_COUNT)
         if not len(some):
             break
         cut = len(some) > PAIRS
         if cut:
             some = some[np.argpartition(counts[some], len(some) - PAIRS)[-PAIRS:]]
-        chosen = np.zeros(1 << HASH_BITS, dtype=bool)
-        chosen[some] = True
-        taken = np.flatnonzero(chosen[slot] if recent else chosen[slot] & held)
+        number = np.full(1 << bits, -1, dtype=np.int32)
+        number[some] = np.arange(len(some), dtype=np.int32)
+        inverse = number[slot]
+        taken = np.flatnonzero(inverse >= 0 if recent else (inverse >= 0) & held)
         at = at[taken] if recent else taken
-        pairs, inverse, n = np.unique(pairs[taken], return_inverse=True, return_counts=True)
+        pairs, inverse = pairs[taken], inverse[taken].astype(np.int64)
+        # a slot's last pair stands for it, mostly its frequent one; what differs is sorted
+        last = np.zeros(len(some), dtype=np.uint64)
+        last[inverse] = pairs
+        other = np.flatnonzero(last[inverse] != pairs)
+        rest, numbers, n = np.unique(pairs[other], return_inverse=True, return_counts=True)
+        inverse[other] = len(some) + numbers
+        pairs, n = np.concatenate([last, rest]), np.concatenate([np.bincount(inverse, minlength=len(some))[: len(some)], n])
         rule = np.full(len(pairs), -1, dtype=np.int64)
         good = np.flatnonzero(n >= MIN_COUNT)
         if not len(good):
@@ -155,13 +164,17 @@ def _writer(path: str):
 
         for b in sliced(batches, "text", 12_000_000):
             flat, ends = with_end(*encoder.encode(b.column("text")), END)
-            docs += b.column("doc_id").to_pylist()
-            ids.append(flat)
-            sizes.append(np.diff(ends, prepend=0))
-            held += len(flat)
-            if held >= SHARD_TOKENS:
-                yield flush()
-                shard, docs, ids, sizes, held = shard + 1, [], [], [], 0
+            names, lengths, first = b.column("doc_id").to_pylist(), np.diff(ends, prepend=0), 0
+            while first < len(names):  # documents until the shard is full
+                begin = int(ends[first] - lengths[first])
+                stop = min(int(np.searchsorted(ends, begin + SHARD_TOKENS - held)) + 1, len(names))
+                docs += names[first:stop]
+                ids.append(flat[begin : ends[stop - 1]])
+                sizes.append(lengths[first:stop])
+                held, first = held + len(ids[-1]), stop
+                if held >= SHARD_TOKENS:
+                    yield flush()
+                    shard, docs, ids, sizes, held = shard + 1, [], [], [], 0
         if docs:
             yield flush()
 
