@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_lectern_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), "lectern.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # the context serves the file from there until it ends
+    path = os.path.join(folder, "lectern.zip")
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
