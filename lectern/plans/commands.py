@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.audio import joined_wavs, request_key, seconds_of, silent_wav, wav_duration
+from ..functions.audio import joined_wavs, packed_duration, packed_silence, request_key, seconds_of
 from ..functions.prompts import dictionary_locator
 from ..operators import blocks as B
 from ..operators import chunks as C
@@ -52,7 +52,7 @@ def run(rows: DataFrame, sections: DataFrame, generate: engine.Model, look: engi
 
 
 def synthesize(chunks: DataFrame, store: str | None = None, version: str = "0", **voice: str) -> DataFrame:
-    """chunks(doc_id, chunk_no, text, ...) with key, hit, audio (silence of the text's length) and seconds.
+    """chunks(doc_id, chunk_no, text, ...) with key, hit, wav (a packed wave file, silence of the text's length) and seconds.
 
     A request is a text with its neighbours' texts, the voice's settings, the version of the pronunciation dictionary
     and the backend. Audio that the cache table at `store` has is taken from there; the rest is made and put there.
@@ -61,14 +61,14 @@ def synthesize(chunks: DataFrame, store: str | None = None, version: str = "0",
     near = {"previous_text": F.lag("text").over(w), "next_text": F.lead("text").over(w)}
     fixed = {k: F.lit(v) for k, v in {"backend": "offline", "dict_version": version, **voice}.items()}
     rows = chunks.withColumn("key", F.concat(F.lit("tts."), request_key(text=F.col("text"), **near, **fixed)))
-    made = silent_wav(seconds_of(F.col("text")))
+    made = packed_silence(seconds_of(F.col("text")))
     if store is None:
         rows = rows.withColumn("hit", F.lit(False)).withColumn("wav", made)
     else:
         spark = chunks.sparkSession
         rows = stored(cache.get(rows, cache.read(spark, store)).withColumn("hit", F.col("value").isNotNull()).withColumn("wav", F.coalesce("value", made)).drop("value"), "speech")
         cache.put(spark, rows.select("key", F.col("wav").alias("value")), store)
-    return rows.withColumn("seconds", wav_duration(F.col("wav")))
+    return rows.withColumn("seconds", packed_duration(F.col("wav")))
 
 
 def publish(rules: DataFrame, name: str) -> DataFrame:
@@ -81,7 +81,7 @@ def publish(rules: DataFrame, name: str) -> DataFrame:
 def assemble(spoken: DataFrame, titles: DataFrame) -> DataFrame:
     """(doc_id, audio, chapters, seconds, metadata): a document's audio in order, and its chapters' metadata.
 
-    A document's audio is one value, so it must fit in a row (2 GB).
+    A document's audio is its packed wave files in order (audio.joined_wavs), so silence takes no room on the way.
     """
     islands = C.chapter_islands(spoken).select("doc_id", "index", "chapter", "first_chunk", "last_chunk")
     part = spoken.select(F.col("doc_id").alias("_doc"), "chunk_no", F.col("seconds").alias("_s"))

@@ -1,5 +1,7 @@
 """Scalars on pairs of input and expected value."""
 
+import struct
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,20 @@ def test_wave_files(spark):
     assert spark.createDataFrame([(bytearray(b"no"),)], "w binary").select(audio.wav_duration(F.col("w"))).first()[0] is None
 
 
+def test_packed_speech_is_the_speech(spark):
+    """Packed files are small, and written out they are the files, also one after the other."""
+    seconds = audio.seconds_of(F.col("t"))
+    df = spark.createDataFrame([(1, "x" * 30), (0, "ab"), (2, "")], "k int, t string").repartition(3)
+    one = df.select("k", audio.silent_wav(seconds).alias("w"), audio.packed_silence(seconds).alias("p"))
+    for r in one.select("*", audio.unpacked("p").alias("u"), audio.unpacked_length("p").alias("n"), audio.packed_duration(F.col("p")).alias("s"), audio.wav_duration(F.col("w")).alias("of_w")).collect():
+        assert (len(r.p), bytes(r.u), r.n, r.s) == (52, bytes(r.w), len(r.w), r.of_w)
+    j = one.agg(audio.joined_wavs(F.col("k"), F.col("p")).alias("j")).select(audio.joined_bytes(F.col("j")).alias("b"), audio.joined_length(F.col("j")).alias("n"), F.size("j").alias("parts")).first()
+    want = b"".join(bytes(r.w) for r in sorted(one.collect()))
+    assert (bytes(j.b), j.n, j.parts) == (want, len(want), 3)
+    long = spark.createDataFrame([(60_000,)], "n long").select(audio.packed_silence(F.col("n")).alias("p")).select(audio.unpacked_length(F.col("p")).alias("b"), audio.packed_duration(F.col("p")).alias("s")).first()
+    assert (long.b, long.s) == (44 + 2 * 22050 * 60_000, 60_000)
+
+
 def test_replies(spark):
     raw = '```json\n{"sections": [{"number": "2", "title": "Body", "start_page": 3, "kind": "Body_Chapter"}, {"number": "", "title": ""}]}\n```'
     got = spark.createDataFrame([(raw,), ("oops",)], "r string").select(replies.sections(F.col("r")).alias("s"), replies.parse(F.col("r"), "sections").alias("p")).collect()
