@@ -45,3 +45,10 @@ def test_query(spark, sf, con, name):
         assert sorted(want.columns) == cols
         want = [tuple(map(plain, r)) for r in want.select(*cols).fetchall()]
         assert sorted(map(repr, rows)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name,most", [("scripts_by_models", 2)])
+def test_plans_start_from_written_tables(spark, sf, name, most):
+    """Rounds and stages don't multiply what the driver has to plan."""
+    plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= most
