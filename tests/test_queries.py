@@ -47,7 +47,7 @@ def test_query(spark, sf, con, name):
         assert sorted(map(repr, rows)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name,most", [("scripts_by_models", 2)])
+@pytest.mark.parametrize("name,most", [("scripts_repaired", 6), ("scripts_by_models", 2)])
 def test_plans_start_from_written_tables(spark, sf, name, most):
     """Rounds and stages don't multiply what the driver has to plan."""
     plan = Q.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
