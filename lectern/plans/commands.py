@@ -59,7 +59,7 @@ def synthesize(chunks: DataFrame, store: str | None = None, version: str = "0",
     """
     w = Window.partitionBy("doc_id").orderBy("chunk_no")
     near = {"previous_text": F.lag("text").over(w), "next_text": F.lead("text").over(w)}
-    fixed = {k: F.lit(v) for k, v in {"backend": "offline", "dict_version": version, **voice}.items()}
+    fixed = {k: F.lit(v) for k, v in {"backend": "offline", "form": "packed", "dict_version": version, **voice}.items()}
     rows = chunks.withColumn("key", F.concat(F.lit("tts."), request_key(text=F.col("text"), **near, **fixed)))
     made = packed_silence(seconds_of(F.col("text")))
     if store is None:

@@ -278,3 +278,15 @@ def test_commands(spark):
     assert "Some plain signs." in chunks.first().text and "| words | signs | 1 | r |" in report.first().report
     spoken = commands.synthesize(chunks)
     assert commands.assemble(spoken, chunks.where("false").select("doc_id", "chapter", F.lit("").alias("title"))).first().chapters >= 1
+
+
+def test_cached_speech_is_packed(spark, tmp_path):
+    """A long text's silence takes a few bytes in the cache, and comes back from there."""
+    from lectern.plans import commands
+    from lectern.sources import cache
+
+    store = f"{tmp_path}/speech"
+    chunks = spark.createDataFrame([(1, 1, "x" * 3000), (1, 2, "y")], "doc_id long, chunk_no int, text string")
+    commands.synthesize(chunks, store)
+    assert [len(r.value) for r in cache.read(spark, store).collect()] == [52, 52]
+    assert [(r.hit, r.seconds) for r in commands.synthesize(chunks, store).orderBy("chunk_no").collect()] == [(True, 200.0), (True, 1470 / 22050)]
