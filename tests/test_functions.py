@@ -126,6 +126,20 @@ def test_wave_files(spark):
     assert spark.createDataFrame([(bytearray(b"no"),)], "w binary").select(audio.wav_duration(F.col("w"))).first()[0] is None
 
 
+def test_wave_chunks_in_the_jvm(spark):
+    """Chunks in any order and of odd sizes, without a Python worker."""
+    riff = lambda *chunks: b"RIFF\0\0\0\0WAVE" + b"".join(name + struct.pack("<I", n) + data for name, n, data in chunks)
+    kind = struct.pack("<HHIIHH", 1, 1, 100, 200, 2, 16)
+    cases = [
+        (riff((b"LIST", 3, b"abc\0"), (b"fmt ", 18, kind + b"\0\0"), (b"data", 400, b"\1" * 400)), 2.0), (riff((b"data", 50, b"\1" * 50), (b"fmt ", 16, kind)), 0.25), (riff((b"fmt ", 16, kind), (b"data", 4294967294, b"")), 21474836.47),
+        (riff((b"fmt ", 16, kind)), None), (riff((b"data", 4, b"abcd")), None), (riff((b"fmt ", 16, kind), (b"data", 2, b"ab"), (b"data", 20, b"c" * 20)), 0.1), (b"RIFF", None), (b"", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, (b, _) in enumerate(cases)], "i int, w binary").repartition(2)
+    made = df.select("i", audio.wav_duration(F.col("w")).alias("s"), audio.packed_duration(audio.packed(F.col("w"), F.lit(0))).alias("p"))
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+    assert [(r.s, r.p) for r in sorted(made.collect())] == [(s, s) for _, s in cases]
+
+
 def test_packed_speech_is_the_speech(spark):
     """Packed files are small, and written out they are the files, also one after the other."""
     seconds = audio.seconds_of(F.col("t"))
