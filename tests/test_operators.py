@@ -126,6 +126,25 @@ def test_pronunciation_plan(spark):
     assert got[(1, 0)] == "abscisic acid (A B A) and A B A with E" and got[(1, 1)] == "reactive oxygen species (R O S) then R O S and x sub i" and got[(2, 0)] == "ABA"
 
 
+def test_pronunciation_plan_across_batches(spark):
+    """Documents go through Python many a batch, and may go on in the next one; what was said before still counts."""
+    from lectern.operators import pronounce as P
+
+    blocks = spark.createDataFrame([(d, k, "ABA of ROS" if k else "reactive oxygen species") for d in range(6) for k in range(7)] + [(9, 0, "ABA"), (9, 1, None)], "doc_id long, pos int, text string")
+    rules = [(d, n, "acronym", *r) for d in range(0, 6, 2) for n, r in enumerate((("ABA", f"acid {d}", "A B A"), ("ROS", "reactive oxygen species", "R O S")))]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        spoken = P.apply_plan(blocks, spark.createDataFrame(rules, P.RULES))
+        got = {(r.doc_id, r.pos): r.text for r in spoken.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert "FlatMapGroups" not in spoken._jdf.queryExecution().executedPlan().toString()
+    said = lambda d, k: ("ABA of ROS" if d % 2 else f"acid {d} (A B A) of R O S" if k == 1 else "A B A of R O S") if k else "reactive oxygen species"
+    assert got == {(d, k): said(d, k) for d in range(6) for k in range(7)} | {(9, 0): "ABA", (9, 1): None}
+
+
 def test_reports(spark):
     from lectern.operators import reports as Rp
 

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.plans import made as Q
+from lectern.plans import stages
+from lectern.sources.stored import stored
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -55,6 +57,15 @@ def test_plans_start_from_written_tables(spark, sf, name, most):
     assert plan.count("Join ") <= most
 
 
+def test_scripts_by_models_broadcast_nothing(spark, sf, monkeypatch):
+    """Neither written tables, which look small where they compress, nor what a model joins."""
+    plans = []
+    monkeypatch.setattr(stages, "stored", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    plans.append(Q.QUERIES["scripts_by_models"](spark, sf)._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 8
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_silences_of_long_texts(spark, tmp_path):
     """Files that fit in no row (2 GB), and whose sizes fit in no header (4 GB), come out as the SQL says."""
     sizes = spark.createDataFrame([(1, 0, 0), (1, 1, None), (1, 2, 30), (2, 0, 800_000), (2, 1, 1_460_873), (2, 2, 1_460_874), (2, 3, 3_000_000)], "conv_id long, turn long, n int")
